@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, secrets
 from .util import table
 
 
@@ -15,6 +15,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in base], "base_failed", "kept")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = secrets.scan(table(spark, sf_dir, "documents"))
+    digest = F.sha2(secrets.joined("base_spans").cast("binary"), 256)
+    return d.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets.joined("spans").alias("spans"), "n_linked")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scans": op2_secret_scans,
 }
