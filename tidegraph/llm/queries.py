@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
-from .util import table
+from . import bpe, quality, secrets
+from .util import bounded_batches, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,17 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets.joined("spans").alias("spans"), "n_linked")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    bounded_batches(spark)
+    d = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = F.sha2(F.array_join("ids", " ").cast("binary"), 256)
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
+    "op3_byte_bpe": op3_byte_bpe,
 }

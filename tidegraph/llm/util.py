@@ -50,3 +50,10 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as the empty text."""
     as_text = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
     return F.crc32(as_text.cast("binary")) % modulus
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Keep Arrow batches small: some texts are long, and a batch is whole in a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
