@@ -142,15 +142,15 @@ class Encoder(dict):
         return out
 
 
-_made: dict[int, Encoder] = {}
+_made: dict[str, Encoder] = {}
 
 
-def _encoder(ranks) -> Encoder:
-    """One encoder a worker and broadcast, kept over tasks."""
-    if ranks.id not in _made:
+def _encoder(ranks, key: str) -> Encoder:
+    """One encoder a worker and vocabulary file, kept over tasks."""
+    if key not in _made:
         _made.clear()
-        _made[ranks.id] = Encoder(ranks.value)
-    return _made[ranks.id]
+        _made[key] = Encoder(ranks.value)
+    return _made[key]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -164,7 +164,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     schema = f"{out} array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(ranks)
+        enc = _encoder(ranks, path)
         get = enc.__getitem__
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -188,7 +188,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "bytes") ->
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = _encoder(ranks).tokens
+        by_id = _encoder(ranks, path).tokens
         table = pa.array([by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)], pa.binary())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
