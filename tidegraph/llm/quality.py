@@ -56,13 +56,17 @@ def _ratio(a: str, b: str) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text", lang: str | None = "lang", window: int = 5) -> DataFrame:
-    """docs with one struct column `_q` of measures added; no Python, no exchange.
+    """`row` (all columns of docs, packed so that no name can clash) and `q`, a struct of measures; no exchange.
 
     n_repeat_words counts the words inside `window`-word windows that occur twice or more: windows are hashed
     (64 bit, within one text), and only texts that have a repeated hash sort theirs to find the positions.
     Null text counts as empty.
     """
-    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    d = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"),
+        (F.lower(F.col(f"`{lang}`")) if lang else F.lit(None).cast("string")).alias("_lang"),
+    )
     d = d.withColumn("_w", _words("_t")).withColumn("_n", F.size("_w").cast("long"))
     d = d.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     at = ", ".join(f"get(_h, i + {k})" for k in range(window))
@@ -83,7 +87,7 @@ def measures(docs: DataFrame, text: str = "text", lang: str | None = "lang", win
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
     lines = lambda pattern: F.size(F.filter("_lines", lambda x: x.rlike(pattern)))
     d = d.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        "row",
         F.struct(
             F.col("_n").alias("n_words"),
             F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
@@ -95,8 +99,8 @@ def measures(docs: DataFrame, text: str = "text", lang: str | None = "lang", win
             F.size(F.filter("_w", lambda w: F.lower(w).isin(stop))).cast("long").alias("n_stop_words"),
             lines(r"^[\x20\x09]*[-*•]").cast("long").alias("n_bullet_lines"),
             lines(r"(\.\.\.|…)[\x20\x09-\x0D]*$").cast("long").alias("n_ellipsis_lines"),
-            (F.lower(F.col(f"`{lang}`")) if lang else F.lit(None).cast("string")).alias("lang"),
-        ).alias("_q"),
+            F.col("_lang").alias("lang"),
+        ).alias("q"),
     )
     return d
 
@@ -113,30 +117,30 @@ RATIOS = {
 
 
 def _fails(rule: Rule) -> Column:
-    value = _ratio(*(f"_q.{x}" for x in RATIOS[rule.measure])) if rule.measure in RATIOS else F.col(f"_q.{rule.measure}")
+    value = _ratio(*(f"q.{x}" for x in RATIOS[rule.measure])) if rule.measure in RATIOS else F.col(f"q.{rule.measure}")
     out = F.lit(False)
     if rule.low is not None:
         out = out | (value < rule.low)
     if rule.high is not None:
         out = out | (value > rule.high)
-    asked = F.col("_q.n_words") >= rule.min_words
+    asked = F.col("q.n_words") >= rule.min_words
     if rule.langs:
-        asked = asked & F.coalesce(F.col("_q.lang").isin(*rule.langs), F.lit(False))
+        asked = asked & F.coalesce(F.col("q.lang").isin(*rule.langs), F.lit(False))
     return asked & out
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", rules: tuple[Rule, ...] = RULES, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
-    """docs with `_q` (measures), `base_failed`, `kept` and `failed_rules` (names, in table order).
+    """`row` (a document's own columns), `q` (measures), `base_failed`, `failed_rules` (names, in table order) and `kept`.
 
     Null or empty text has no word, so it fails the base rule. Repeated rows are judged alike, each on its own.
     A rule with languages is asked only where the language column names one of them; null asks none.
     """
     d = measures(docs, text, lang)
-    base = (F.col("_q.n_words") < min_words) | (100 * F.col("_q.n_repeat_words") > max_repeat_percent * F.col("_q.n_words"))
+    base = (F.col("q.n_words") < min_words) | (100 * F.col("q.n_repeat_words") > max_repeat_percent * F.col("q.n_words"))
     failed = F.array_compact(F.array(*[F.when(_fails(r), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
     return d.withColumn("base_failed", base).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    return quality(docs, **how).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality(docs, **how).filter("kept").select("row.*")

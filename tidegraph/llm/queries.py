@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets
+from . import bpe, decontaminate, quality, secrets
 from .util import bounded_batches, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     d = quality.quality(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in base], "base_failed", "kept")
+    return d.select("row.doc_id", *[F.col(f"q.{c}").alias(c) for c in base], "base_failed", "kept")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,17 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    d = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hit_words").cast("long")
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return d.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_decontamination": op5_decontamination,
 }
