@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, secrets
-from .util import bounded_batches, table
+from . import bpe, decontaminate, langid, quality, secrets, warc
+from .util import bounded_batches, id_remainder, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +38,25 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder("doc_id", 4) == 2
+    profiles = langid.train(docs.filter(~held_out))
+    return langid.predict(docs, profiles, keep=[held_out.alias("held_out")])
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    index, root = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_decontamination": op5_decontamination,
+    "op7_language_id": op7_language_id,
+    "op10_warc": op10_warc,
 }
