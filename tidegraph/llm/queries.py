@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, near_dup, quality, secrets, warc
+from . import bpe, decontaminate, langid, near_dup, pii, quality, secrets, warc
 from .util import bounded_batches, id_remainder, table
 
 
@@ -44,6 +44,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    d = pii.scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base_spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+    return d.select("doc_id", *map(number, ("email", "ip", "card", "phone")), F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -64,6 +72,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op10_warc": op10_warc,
 }
