@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, near_dup, pii, quality, secrets, warc
+from . import bpe, decontaminate, langid, near_dup, pii, quality, secrets, toxicity, warc
 from .util import bounded_batches, id_remainder, table
 
 
@@ -60,6 +60,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles, keep=[held_out.alias("held_out")])
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder("doc_id", 5) == 0
+    classifier = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, classifier, keep=[held_out.alias("held_out")])
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     index, root = warc.write(table(spark, sf_dir, "pages"))
@@ -74,5 +82,6 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op10_warc": op10_warc,
 }
