@@ -26,13 +26,13 @@ LEXICONS = {
     "wits": "idiot idiots idiotic moron morons moronic stupid dumb fool imbecile dimwit halfwit brainless",
     "filth": "trash garbage scum filth filthy vermin rubbish scumbag",
     "worth": "worthless pathetic loser losers useless failure nobody",
-    "disgust": "disgusting vile hateful repulsive revolting sickening",
+    "disgust": "disgusting hateful repulsive revolting sickening",
     "mockery": "clown clowns joke freak weirdo creep jerk",
 }
 _INSULT = {w for ws in LEXICONS.values() for w in ws.split()}
 _WORD = re.compile(r"[^\W\d_]+")
 _AIMED = re.compile(r"\b(?:you|your|they|he|she|this)\W+(?:\w+\W+){0,3}?(?:" + "|".join(sorted(_INSULT)) + r")\b", re.I)
-STEM_CHARS = (4, 5)
+STEM_CHARS = (8, 7, 6, 5, 4)
 LEAST_G, PRECISION = 50.0, 20  # log-likelihood ratio against chance, and toxic to clean rows, of what is learned
 STEM_WORDS = 8  # words that a stem must begin, so that it is more than one word's beginning
 VOTERS = (*LEXICONS, "aimed", "shouting", "density", "learned_words", "learned_stems", "none")
@@ -41,10 +41,14 @@ N_WORDS_SCALE = 100.0
 
 @dataclass
 class Lexicon:
-    """Learned words and word beginnings (stems of STEM_CHARS characters) with their log-likelihood ratios."""
+    """Learned words and word beginnings (stems of STEM_CHARS characters; two at least, and more than chance brings, count) with their log-likelihood ratios."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    clean_rate: float = 0.0  # stems among the words of clean rows
+
+    def __post_init__(self):
+        self.starts = {x[:4] for x in self.stems}
 
 
 def found(text: str | None, lexicon: Lexicon) -> tuple[list[int], dict[str, int], int]:
@@ -52,15 +56,20 @@ def found(text: str | None, lexicon: Lexicon) -> tuple[list[int], dict[str, int]
     text = text or ""
     words = _WORD.findall(text.lower())
     known, stems = lexicon.words, lexicon.stems
-    short, long = STEM_CHARS
     counts: dict[str, int] = {}
+    hits: dict[str, int] = {}
+    starts = lexicon.starts
     for w in words:
         if w in _INSULT or w in known:
             counts[w] = counts.get(w, 0) + 1
-        for stem in (w[:short], w[:long]):
-            if stem in stems:
-                counts[f"{stem}*"] = counts.get(f"{stem}*", 0) + 1
-                break
+        if stems and w[:4] in starts:
+            for k in STEM_CHARS:
+                if w[:k] in stems:
+                    hits[f"{w[:k]}*"] = hits.get(f"{w[:k]}*", 0) + 1
+                    break
+    n = sum(hits.values())
+    if n >= 2 and n >= 2 + 4 * lexicon.clean_rate * len(words):
+        counts |= hits
     insults = sum(n for w, n in counts.items() if w in _INSULT)
     votes = [TOXIC if any(w in counts for w in ws.split()) else ABSTAIN for ws in LEXICONS.values()]
     aimed = insults and _AIMED.search(text)
@@ -68,8 +77,8 @@ def found(text: str | None, lexicon: Lexicon) -> tuple[list[int], dict[str, int]
     votes.append(TOXIC if insults and any(w.isupper() and w.lower() in _INSULT for w in _WORD.findall(text)) else ABSTAIN)
     votes.append(TOXIC if insults >= 2 and insults * 500 >= len(words) else ABSTAIN)
     quiet = CLEAN if not counts else ABSTAIN
-    votes.append(TOXIC if any(w in known for w in counts) else quiet)
-    votes.append(TOXIC if any(w[-1] == "*" for w in counts) else quiet)
+    votes.append(TOXIC if any(w in known for w in counts) else ABSTAIN)
+    votes.append(TOXIC if any(w[-1] == "*" for w in counts) else ABSTAIN)
     votes.append(quiet)
     return votes, counts, len(words)
 
@@ -96,7 +105,7 @@ class LabelModel:
                 cov = (rest * w[:, None]).T @ rest
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
                 self.correlation = cov / np.outer(sd, sd)
-                self.share = 1 / np.maximum(1, np.clip(np.abs(self.correlation), 0, 1).sum(axis=1) - 1e-9)
+                self.share = 1 / np.maximum(1, np.clip(self.correlation, 0, 1).sum(axis=1) - 1e-9)
             q = self.posterior(patterns)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
@@ -159,8 +168,10 @@ def learn_lexicon(labelled: DataFrame, size: int = LEARNED_WORDS) -> Lexicon:
     words = sums.filter("t > 0").withColumn("g", g).filter(telling).orderBy(F.desc("g"), "w").limit(size).collect()
     stem = F.explode(F.array(*[F.substring("w", 1, k) for k in STEM_CHARS]))
     stems = sums.withColumn("stem", stem).filter(F.length("stem") < F.length("w")).groupBy("stem").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.max("t").alias("most"), F.count("*").alias("n"))
-    stems = stems.filter((F.col("t") > 0) & (F.col("n") >= STEM_WORDS) & (2 * F.col("most") <= F.col("t"))).withColumn("g", g).filter(telling).orderBy(F.desc("g"), "stem").limit(size).collect()
-    return Lexicon({r.w: float(r.g) for r in words}, {r.stem: float(r.g) for r in stems})
+    stems = stems.filter((F.col("t") > 0) & (F.col("n") >= STEM_WORDS) & (2 * F.col("most") <= F.col("t"))).withColumn("g", g).filter((F.col("g") > LEAST_G) & (F.col("t") >= 4 * F.col("c"))).orderBy(F.desc("g"), "stem").limit(size).collect()
+    shortest = [r for r in stems if not any(r.stem != o.stem and r.stem.startswith(o.stem) for o in stems)]
+    rate = sum(r.c for r in shortest) / max(1, sums.agg(F.sum("c")).first()[0] or 0)
+    return Lexicon({r.w: float(r.g) for r in words}, {r.stem: float(r.g) for r in stems}, rate)
 
 
 @dataclass
