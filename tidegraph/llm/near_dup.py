@@ -8,8 +8,8 @@ Equal texts collapse first. Registers are banded; documents of a band's bucket a
 * a bucket of up to SMALL documents gives its pairs, so a row meets SMALL others at most;
 * a larger one gives each member's pair with the bucket's centre, the member that agrees best with the bucket's
   registers, so a large group of true copies costs one pair a member and is linked through its centre;
-* members of large buckets that these links leave in different classes are compared as signatures, in blocks of
-  bounded size dealt over tasks, and only similar ones come out. No bucket, link or pair is dropped.
+* members of large buckets that these links leave in different classes are compared in blocks of bounded size dealt
+  over tasks, and only links that join classes come out. No bucket is dropped, and no link between classes is lost.
 Candidates whose signatures agree are verified by the exact Jaccard similarity of their shingle sets.
 """
 
@@ -169,9 +169,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with a Jaccard similarity of shingle sets of SIMILARITY or more, from the whole texts."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set): the sorted shingle hashes of the whole texts of the asked nodes."""
     ids = nodes.join(asked, "node", "left_semi").select(F.col("id").alias("_i")).distinct()
     texts = docs.join(ids, F.col("id").eqNullSafe(F.col("_i")), "left_semi")
 
@@ -181,16 +180,27 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 flat = [x for t in whole.slice(lo, 128).column(1).to_pylist() if (x := normal(t))]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in flat], pa.binary()), pa.array([np.unique(shingles(x)).tobytes() for x in flat], pa.binary())], names=["node", "set"])
 
-    sets = texts.select("id", "text").mapInArrow(cut, "node binary, set binary").dropDuplicates(["node"])
+    return texts.select("id", "text").mapInArrow(cut, "node binary, set binary").dropDuplicates(["node"])
+
+
+def similar(x: bytes, y: bytes) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of SIMILARITY or more."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if min(len(p), len(q)) < SIMILARITY * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= SIMILARITY * (len(p) + len(q) - both)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The similar ones of the pairs (a, b), by their shingle sets."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(asked, nodes, docs)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= SIMILARITY * (len(p) + len(q) - both))
+            keep = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(compare, "a binary, b binary")
@@ -226,31 +236,46 @@ def _centres(large: DataFrame, nodes: DataFrame) -> DataFrame:
     return large.join(best, "bucket").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def _rest(large: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of members of large buckets that are still in different classes, from blocks of signatures."""
+def _rest(large: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members of large buckets that are still in different classes.
+
+    Blocks of a bucket meet two at a time. Signatures tell the likely pairs, the most alike first; their shingle sets
+    are compared unless a link found before has joined their classes, so a task gives a link a class at most.
+    """
     d = large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = d.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    d = d.join(mixed, "bucket", "left_semi").join(nodes.select("node", "sig"), "node")
+    d = stored(d.join(mixed, "bucket", "left_semi"), "mixed")
+    d = d.join(nodes.select("node", "sig"), "node").join(_sets(d.select("node").distinct(), nodes, docs), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     d = d.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    d = d.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "comp", "sig")
+    d = d.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "comp", "sig", "set")
 
     def compare(table: pa.Table) -> pa.Table:
-        t = table.combine_chunks().to_pydict()
-        own, sig = np.array(t["own"]), np.frombuffer(b"".join(t["sig"]), dtype=np.uint16).reshape(-1, REGISTERS)
+        t = table.to_pydict()
+        own, sig, sets = np.array(t["own"]), np.frombuffer(b"".join(t["sig"]), dtype=np.uint16).reshape(-1, REGISTERS), t["set"]
         comp = np.unique(np.array([c.hex() for c in t["comp"]]), return_inverse=True)[1]
-        p, q = t["p"][0], t["q"][0]
-        left, right, a, b = np.flatnonzero(own == p), np.flatnonzero(own == q), [], []
+        parent = list(range(len(own)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        left, right, a, b = np.flatnonzero(own == t["p"][0]), np.flatnonzero(own == t["q"][0]), [], []
         for lo in range(0, len(left), 64):
             part = left[lo : lo + 64]
             same = np.zeros((len(part), len(right)), dtype=np.int32)
             for r in range(REGISTERS):
                 same += sig[part, r][:, None] == sig[right, r][None, :]
             x, y = np.nonzero((same >= LIKELY * REGISTERS) & (comp[part][:, None] != comp[right][None, :]))
-            for i, j in zip(part[x], right[y]):
-                m, n = sorted((t["node"][i], t["node"][j]))
-                a.append(m)
-                b.append(n)
+            order = np.argsort(-same[x, y], kind="stable")
+            for i, j in zip(part[x[order]], right[y[order]]):
+                ci, cj = root(comp[i]), root(comp[j])
+                if ci != cj and similar(sets[i], sets[j]):
+                    parent[ci] = cj
+                    m, n = sorted((t["node"][i], t["node"][j]))
+                    a.append(m)
+                    b.append(n)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return d.groupBy("bucket", "p", "q").applyInArrow(compare, "a binary, b binary").distinct()
@@ -297,10 +322,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     links = stored(_verified(likely, nodes, d), "links")
     comps = components(links)
     if any_large:
-        rest = stored(_rest(large, nodes, comps), "rest")
+        rest = stored(_rest(large, nodes, comps, d), "rest")
         if rest.limit(1).count():
-            links = links.unionByName(stored(_verified(rest, nodes, d), "links"))
-            comps = components(links)
+            comps = components(links.unionByName(rest))
     firsts = sketch.filter("print IS NOT NULL").groupBy(F.col("print").alias("node")).agg(F.min("id").alias("first"))
     named = firsts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_comp = named.groupBy("comp").agg(F.min("first").alias("class_id"))
