@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, near_dup, pii, quality, secrets, toxicity, warc
+from . import bpe, decontaminate, langid, lm, near_dup, pii, quality, secrets, toxicity, warc
 from .util import bounded_batches, id_remainder, table
 
 
@@ -68,6 +68,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, classifier, keep=[held_out.alias("held_out")])
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder("doc_id", 5) == 1
+    model = lm.train(docs.filter(~held_out))
+    return lm.score(docs, model, keep=[held_out.alias("held_out")])
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     index, root = warc.write(table(spark, sf_dir, "pages"))
@@ -83,5 +91,6 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
 }
