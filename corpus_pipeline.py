@@ -1,11 +1,12 @@
-"""The corpus pipeline: stages of the training-data operators over documents."""
+"""The corpus pipeline: five stages of the training-data operators over documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegraph.llm import quality
-from tidegraph.llm.util import stored, table
+from tidegraph.llm import bpe, decontaminate, near_dup, pii, quality
+from tidegraph.llm.util import bounded_batches, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +14,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of the least doc_id stays."""
+    bounded_batches(spark)
+    return near_dup.keep_first(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    bounded_batches(spark)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data in their texts is masked and n_chars counted again."""
+    bounded_batches(spark)
+    return pii.redact(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and lang with the ids of the text, their number, and whether they decode to the text's bytes."""
+    import public_tokenizers
+
+    bounded_batches(spark)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    d = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    same = F.col("bytes").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))
+    return d.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("byte_bpe", byte_bpe),
+]
+
+# Connected components of near duplicates, the random field and the merges are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
