@@ -142,5 +142,10 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", rule
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """The rows that pass, with the columns they came with."""
-    return quality(docs, **how).filter("kept").select("row.*")
+    """The rows that pass, with the columns they came with.
+
+    A filter is pushed below deterministic projections, which would write the measures' nested expressions out again at
+    each use; the row number, which changes nothing, keeps it above them.
+    """
+    judged = quality(docs, **how).withColumn("at", F.monotonically_increasing_id())
+    return judged.filter("kept AND at >= 0").select("row.*")
