@@ -1,0 +1,347 @@
+"""The training-data operators against brute force, round trips, held-out accuracy and awkward inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from tidegraph.llm import bpe, decontaminate, langid, lm, near_dup, pii, quality, secrets, toxicity, warc  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Nulls in each column, empty and wordless texts, a repeated row, a repeated id, a long text, a long word.
+AWKWARD = [
+    (1, None, None, None, None), (None, "no id but some words here", "en", "s", 5), (2, "", "en", "s", 0), (3, " \n\t ", None, "s", 4), (4, "!!! ... ###", "fr", None, 11),
+    (5, "the same row twice over and over again here", "en", "s", 1), (5, "the same row twice over and over again here", "en", "s", 1), (5, "another text of the same id", "en", "s", 1),
+    (6, "word " * 30_000, "en", "s", 1), (7, "x" * 50_000, "en", "s", 1), (8, "\U0001f600 é ß 漢字 password = 'abcdefghijkl' a.b@c.example", "de", "s", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Awkward rows with extra columns whose names clash with what operators use inside or return."""
+    d = spark.createDataFrame(AWKWARD, SCHEMA)
+    for c in ("row", "score", "spans", "_t", "t", "id", "node", "n_words", "kept", "lang_pred"):
+        d = d.withColumn(c, F.lit("extra"))
+    return d
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def repeats(words, size=5):
+    seen = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+    return len({i + o for i in range(len(words) - size + 1) if seen[tuple(words[i : i + size])] > 1 for o in range(size)})
+
+
+def test_quality(spark, awkward, empty):
+    texts = [r[1] for r in AWKWARD] + ["a b c d e f g a b c d e x\nline\nline\n", "a a a a a a a a a a a a", "one | two | three | four | five | six | seven | eight | nine | ten | eleven"]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    for r in quality.quality(d).collect():
+        t = texts[r.row.doc_id] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeats(w))
+        assert (r.q.n_words, r.q.word_chars, r.q.n_symbols, r.q.n_dup_lines, r.q.n_repeat_words) == want
+        assert r.base_failed == (len(w) < 10 or 100 * want[4] > 20 * len(w)) and not (r.kept and r.base_failed)
+    assert quality.keep_good(awkward).columns == awkward.columns and quality.keep_good(empty).count() == 0
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def test_secrets(spark, awkward, empty):
+    rng = random.Random(5)
+    bits = ["password=", "token: ", "secret", "API_KEY = '", "AKIA", "0123456789abcdef", "ABCDEFGHIJKLMNOP", "é", "\U0001f600", " ", "\n\n", "x1", "deadbeefdeadbeef", "user: bob", "=", "hunter22"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    texts += ["token=secret: abcdefghijklmnop", "user: bob\npwd: hunter22", "user: bob\n\npwd: hunter22", "pwd: hunter22", "host=db.example.com " + "." * 300 + " pwd: hunter22", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(d).select("*", secrets.joined("base_spans").alias("base")).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert got[i].base == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)), t
+    linked = [got[len(texts) - k].n_linked for k in (5, 4, 3, 2)]
+    assert linked == [1, 0, 0, 0]  # beside an identifier; across a blank line; alone; out of reach
+    assert secrets.scan(awkward).count() == len(AWKWARD) and secrets.scan(empty).count() == 0
+
+
+def test_bpe(spark, awkward, empty):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ours, rng = bpe.Encoder(ranks), random.Random(2)
+    letters = "abc 's \x1c\x85\xa0é²½Ⅷ中\U0001f600\U00010400\n\t!?#09'll're"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["".join(rng.choice("abehint") for _ in range(n)) for n in (49, 97, 200, 3000)] + ["a" * 4000, "=-" * 3000, " " * 500 + "x", "<|endoftext|>"]
+    for t in texts:
+        assert ours.encode(t) == theirs.encode_ordinary(t)
+    for leaf in (1, 2, 7):  # however it is halved
+        small = bpe.Encoder(ranks, leaf=leaf)
+        assert all(small.encode(t) == theirs.encode_ordinary(t) for t in texts[:300] + texts[-8:])
+    d = awkward.select("doc_id", "text")
+    got = bpe.round_trip(d, path).collect()
+    assert sorted(bytes(r.bytes) for r in got) == sorted((r[1] or "").encode() for r in AWKWARD)
+    assert bpe.round_trip(empty, path).count() == 0
+    d = bpe.decode(spark.createDataFrame([(1, None), (2, [])], "k int, ids array<int>"), path)
+    assert {r.k: r.bytes and bytes(r.bytes) for r in d.collect()} in ({1: None, 2: b""}, {1: None, 2: bytearray(b"")})
+
+
+def brute_classes(docs, least=0.8):
+    sets = {k: set(near_dup.shingles(near_dup.normal(t)).tolist()) for k, t in docs.items()}
+    root = {k: k for k in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(k for k in docs if sets[k])
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in docs}
+
+
+def made_documents(seed=1):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("aeioubcdfg") for _ in range(rng.randint(2, 7)))
+    base = [[word() for _ in range(rng.randint(4, 200))] for _ in range(25)]
+    docs = [" ".join(b) for b in base]
+    for b in base[:12]:
+        for _ in range(3):
+            c = list(b)
+            for _ in range(max(1, len(c) // 60)):
+                c[rng.randrange(len(c))] = word()
+            docs.append(" ".join(c))
+    star = [word() for _ in range(150)]  # copies near their centre and further from each other
+    docs.append(" ".join(star))
+    for _ in range(30):
+        c = list(star)
+        for _ in range(3):
+            c[rng.randrange(len(c))] = word()
+        docs.append(" ".join(c))
+    docs += [docs[0], docs[0].upper() + "!", "few words", "few, words", "", "?!"]
+    return dict(enumerate(docs))
+
+
+@pytest.mark.parametrize("small", [12, 2])
+def test_near_duplicates(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    docs = made_documents()
+    d = spark.createDataFrame([(k, t) for k, t in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(d).collect()}
+    assert got == brute_classes(docs)
+
+
+def test_near_duplicates_awkward(spark, awkward, empty):
+    rows = near_dup.classes(awkward).collect()
+    assert len(rows) == len(AWKWARD) and {r.class_id for r in rows if r.doc_id == 1} == {1}
+    kept = near_dup.keep_first(awkward)
+    assert kept.columns == awkward.columns
+    assert near_dup.classes(empty).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    got = []
+    for cut in (100, 300, 600):
+        b = a.copy()
+        b[:cut] = rng.integers(0, 2**63, cut).astype(np.uint64)
+        s = near_dup.signatures([a, b], 1200)
+        got.append(abs((s[0] == s[1]).mean() - (1000 - cut) / (1000 + cut)))
+    assert max(got) < 0.06
+    sizes = [a[:3], a[:9], a[:70], a[:300]]  # each class of sizes draws the same points
+    s = near_dup.signatures(sizes, 600)
+    assert abs((s[0] == s[1]).mean() - 1 / 3) < 0.08 and abs((s[2] == s[3]).mean() - 70 / 300) < 0.08
+
+
+def test_decontamination(spark, awkward, empty):
+    rng = random.Random(3)
+    word = lambda: rng.choice(("ab", "Cd", "é", "x1", "the", "of"))
+    items = [(i, rng.choice(" -,\n").join(word() for _ in range(rng.choice((0, 1, 3, 9, 10, 11, 25))))) for i in range(12)] + [(99, None), (None, "the of")]
+    texts = {i: " ".join(word() for _ in range(rng.randint(0, 40))) + (" . " + (rng.choice(items)[1] or "")).lower() + " " + word() for i in range(60)}
+    find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+    d, b = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for chars in (1_000_000, 60):  # one block, several
+        got = {r.doc_id: r for r in decontaminate.contamination(d, b, block_chars=chars).collect()}
+        for i, t in texts.items():
+            w, hit, own = find(t), set(), set()
+            for k, x in items:
+                x = find(x) if k is not None else []
+                n = min(10, len(x))
+                for win in {tuple(x[j : j + n]) for j in range(len(x) - n + 1)} if n else ():
+                    for s in range(len(w) - n + 1):
+                        if tuple(w[s : s + n]) == win:
+                            hit |= set(range(s, s + n))
+                            own.add(str(k))
+            assert (got[i].n_words, set(got[i].hit_words), got[i].items) == (len(w), hit, sorted(own))
+            inside = "".join(t[s.start : s.end] + " " for s in got[i].spans)
+            if chars > 100:
+                assert find(inside) == [w[j] for j in sorted(hit)]
+    assert decontaminate.keep_clean(awkward, b).columns == awkward.columns
+    assert decontaminate.contamination(empty, b).count() == 0
+    assert decontaminate.contamination(d, b.limit(0)).filter(F.size("hit_words") > 0).count() == 0
+
+
+def brute_pii(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(d)]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_personal_data(spark, awkward, empty):
+    rng, model = random.Random(3), pii.trained()
+    for _ in range(4000):
+        t = "".join(rng.choice("ab@@..1234567890 +-()55%_") for _ in range(rng.randint(0, 50)))
+        base, every = pii.find(t, model)
+        assert base == brute_pii(t) and set(base) <= set(every)
+    right = wrong = missed = 0
+    rng = random.Random(99)  # sentences that training did not see
+    for _ in range(200):
+        t, truth = pii._sentence(rng)
+        got = {s for low, high in pii.regions(t) for s in model.best(t, low, high)}
+        right, wrong, missed = right + len(got & truth), wrong + len(got - truth), missed + len(truth - got)
+    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.85
+    assert pii.scan(awkward).count() == len(AWKWARD) and pii.scan(empty).count() == 0
+    d = pii.redact(awkward)
+    assert d.columns == awkward.columns and d.filter("text LIKE '%[EMAIL]%'").count() == 1
+    assert d.filter("n_chars <> length(text)").count() == 0
+
+
+def test_language(spark, awkward, empty):
+    rng = random.Random(4)
+    parts = {"en": "the of and ing th er", "fr": "le la eau ou tion é", "de": "der sch und ch ei ß"}
+    rows = [(i, " ".join("".join(rng.choice(parts[g].split()) for _ in range(rng.randint(1, 3))) for _ in range(40)), g) for i in range(150) for g in parts]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.train(d.filter("doc_id % 3 <> 0"))
+    got = langid.predict(d.filter("doc_id % 3 = 0"), profiles, keep=[F.col("lang").alias("true")]).collect()
+    assert sum(r.true == r.lang_pred for r in got) == len(got) and all(0 <= r.score <= 1 for r in got)
+    brute = {g: Counter() for g in parts}
+    for i, t, g in rows:
+        if i % 3:
+            s = "".join(c.lower() if c.isalpha() else " " for c in f" {t} ")
+            s = re.sub(" +", " ", s)
+            brute[g].update(s[j : j + n] for n in (1, 2, 3) for j in range(len(s) - n + 1) if s[j : j + n] != " ")
+    pack = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    for g, n in brute.items():
+        assert [int(x) for x in profiles[g]] == [pack(x) for x, _ in sorted(n.items(), key=lambda kv: (-kv[1], pack(kv[0])))[: langid.PROFILE]]
+    odd = {(r.doc_id, r.lang_pred) for r in langid.predict(awkward, profiles).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und"), (4, "und")} <= odd
+    assert langid.train(empty) == {} and langid.predict(d.limit(3), {}).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_toxicity(spark, awkward, empty):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(("an", "re", "ti", "lo", "que", "der", "mi")) for _ in range(rng.randint(2, 4)))
+    rows = []
+    for i in range(800):
+        w = [word() for _ in range(60)]
+        bad = i % 4 == 0
+        for _ in range(rng.randint(2, 5) if bad else 0):
+            w[rng.randrange(60)] = rng.choice(("idiot", "moron", "scum", "loser")) if i % 8 else "zorgl" + word()
+        rows.append((i, " ".join(w), int(bad)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    c = toxicity.train(d.drop("toxic"), d.select("doc_id", "toxic"), F.col("doc_id") % 5 != 0)
+    got = toxicity.score(d, c, keep=[F.col("toxic").alias("true")]).filter("doc_id % 5 = 0").collect()
+    assert sum(r.predicted == r.true for r in got) >= 0.97 * len(got)
+    assert any(s.startswith("zorg") for s in c.lexicon.stems) and np.allclose(np.diag(c.labels.correlation), 1, atol=1) and all(0 < s <= 1 for s in c.labels.share)
+    odd = toxicity.score(awkward, c).collect()
+    assert len(odd) == len(AWKWARD) and all(0 <= r.score < 0.5 for r in odd if r.doc_id in (1, 2, 3, 4))
+    none = toxicity.train(empty, d.select("doc_id", "toxic"), F.lit(True))
+    assert toxicity.score(d.limit(2), none).count() == 2
+
+
+def test_language_model(spark, awkward, empty):
+    rng = random.Random(8)
+    docs = {i: " ".join(rng.choice("a b c dd E ff the The of q1".split()) if rng.random() < 0.7 else f"w{rng.randint(0, 400)}" for _ in range(rng.randint(0, 60))) for i in range(120)}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    model = lm.train(d.filter("doc_id % 5 <> 1"))
+    tok = lambda t: (t or "").lower().split() + [None]
+    uni, bi = Counter(), Counter()
+    for i, t in docs.items():
+        if i % 5 != 1:
+            uni.update(tok(t))
+            bi.update(zip(["<s>"] + tok(t), tok(t)))
+    n, v = sum(uni.values()), len(uni)
+    cont, total, kinds = Counter(), Counter(), {}
+    for (x, y), c in bi.items():
+        cont[y] += 1
+        total[x] += c
+        kinds.setdefault(x, [0, 0, 0])[min(c, 3) - 1] += 1
+    disc = lambda cs: lm._discounts([sum(c == k for c in cs) for k in (1, 2, 3, 4)])
+    dd, ee, k = disc(list(bi.values())), disc(list(cont.values())), len(bi)
+    left = sum(e * sum(min(c, 3) == j for c in cont.values()) for j, e in enumerate(ee, 1)) / k
+    low = lambda y: (cont[y] - (ee[min(cont[y], 3) - 1] if cont[y] else 0)) / k + left / (v + 1)
+
+    def prob(x, y):
+        c = bi[x, y]
+        return ((c - (dd[min(c, 3) - 1] if c else 0)) + sum(a * b for a, b in zip(dd, kinds[x])) * low(y)) / total[x] if total[x] else low(y)
+
+    for x in ("<s>", "a", "the"):
+        assert abs(sum(prob(x, y) for y in uni) + prob(x, "unseen") - 1) < 1e-9
+    for r in lm.score(d, model).collect():
+        w = tok(docs[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(uni[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
+        assert r.score == pytest.approx(sum(math.log10(prob(a, b)) for a, b in zip(["<s>"] + w, w)))
+    assert lm.score(awkward, model).filter("score IS NULL OR isnan(score)").count() == 0
+    assert lm.score(d.limit(3), lm.train(empty)).filter("train_tokens = 0").count() == 3 and lm.score(empty, model).count() == 0
+    assert lm.score(awkward, lm.train(awkward)).count() == len(AWKWARD)
+
+
+def test_warc(spark, tmp_path):
+    rows = [(1, "http://a/é b", "<p>x</p>" * 20), (2, None, "<p>x</p>" * 20), (None, "u", "<p>x</p>" * 20), (3, "u\r\nX: y", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "é" * 50_000), (7, "u", "é" * 50_000), (8, "u", "line\r\n\r\nline" * 20)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    index, root = warc.write(d)
+    assert {"file", "offset", "length", "url", "payload_digest"} <= set(index.columns)
+    got = warc.read(index, root, payloads=True).collect()
+    assert sorted(str((r.page_id, r.record_type, r.refers_to)) for r in got) == sorted(map(str, [(1, "response", None), (2, "revisit", 1), (None, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (7, "response", None), (8, "response", None)]))
+    html = {(p, (h or "").encode()) for p, _, h in rows}
+    for r in got:
+        full = next(h for p, h in html if p == r.page_id)
+        assert (r.payload_bytes, r.payload_digest) == (len(full), hashlib.sha256(full).hexdigest())
+        assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == full
+    one = warc.read(index.filter("page_id = 7").limit(1), root).collect()
+    assert [r.page_id for r in one] == [7]
+    assert warc.ranges([("f", 0, 10), ("f", 10, 10), ("f", 10**6, 5), ("g", 10, 1)]) == [("f", 0, 20, [0, 1]), ("f", 10**6, 10**6 + 5, [2]), ("g", 10, 11, [3])]
+    index, root = warc.write(d.limit(0))
+    assert warc.read(index, root).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made_documents().items()] + [(900, None, None, None, None)], SCHEMA)
+    sf = "/root/testdata/sf0.001"
+    want = docs.columns
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, sf)
+    texts = {r.doc_id: r.text for r in kept.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), SCHEMA)
+        assert docs.columns == want, name
+    classes = brute_classes(texts)
+    assert {r.doc_id for r in docs.collect()} == set(classes.values())
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.count() == docs.count() and last.filter("NOT decodes").count() == 0
