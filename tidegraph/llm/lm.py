@@ -70,6 +70,7 @@ class Shards:
     folder: str
     files: list[tuple[str, int, int]]  # name, rows, least key
     columns: tuple[str, ...]
+    running: bool = False  # whether running sums of the first column lie beside it
 
     def rows(self) -> int:
         return sum(f[1] for f in self.files)
@@ -85,7 +86,24 @@ class Mapped:
         self.names = shards.columns
         self.first = np.array([f[2] for f in shards.files], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum([f[1] for f in shards.files]))).astype(np.int64)
-        self.maps = [{c: np.memmap(f"{shards.folder}/{name}.{c}", dtype=np.int64, mode="r", shape=(n,)) for c in ("key", *self.names)} for name, n, _ in shards.files]
+        files = ("key", *self.names, *(["sum"] if shards.running else []))
+        self.maps = [{c: np.memmap(f"{shards.folder}/{name}.{c}", dtype=np.int64, mode="r", shape=(n,)) for c in files} for name, n, _ in shards.files]
+        self.before = np.concatenate(([0], np.cumsum([m["sum"][-1] for m in self.maps]))) if shards.running else None
+
+    def masses(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of the first column before each place, and its value there; both read from the mapped files."""
+        asked, back = np.unique(places, return_inverse=True)
+        shard = np.searchsorted(self.starts, asked, side="right") - 1
+        less, own = np.zeros(len(asked)), np.zeros(len(asked))
+        for s in np.unique(shard):
+            at = np.flatnonzero(shard == s)
+            if s >= len(self.maps):
+                less[at] = self.before[-1]
+                continue
+            m, pos = self.maps[s], asked[at] - self.starts[s]
+            own[at] = m[self.names[0]][pos]
+            less[at] = self.before[s] + m["sum"][pos] - own[at]
+        return less[back], own[back]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Of each key its place in the whole array (-1: none) and its values (0: none)."""
@@ -124,7 +142,7 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(values, at, axis=0)
 
 
-def write_shards(parts: DataFrame, shards: int, spark_path: str, columns: tuple[str, ...]) -> Shards:
+def write_shards(parts: DataFrame, shards: int, spark_path: str, columns: tuple[str, ...], running: bool = False) -> Shards:
     """Rows (pid, key, *columns) summed by key into `shards` sorted files; pid must not fall as the key grows."""
     folder = _local(spark_path)
     dealt = parts.repartitionById(shards, F.col("pid")).sortWithinPartitions("key")
@@ -133,7 +151,7 @@ def write_shards(parts: DataFrame, shards: int, spark_path: str, columns: tuple[
         import os
 
         task = TaskContext.get()
-        name, n, least, kept, out = f"{columns[0]}-{task.partitionId():05d}-{task.taskAttemptId()}", 0, None, None, {}
+        name, n, least, kept, out, total = f"{columns[0]}-{task.partitionId():05d}-{task.taskAttemptId()}", 0, None, None, {}, 0
         os.makedirs(folder, exist_ok=True)
         try:
             for batch in batches:
@@ -146,9 +164,10 @@ def write_shards(parts: DataFrame, shards: int, spark_path: str, columns: tuple[
                     continue
                 kept, k, v = (k[-1:], v[-1:]), k[:-1], v[:-1]  # the last key may go on
                 least = least if least is not None else int(k[0] if len(k) else kept[0][0])
-                n += _append(out, folder, name, columns, k, v)
+                n += _append(out, folder, name, columns, k, v, total if running else None)
+                total += int(v[:, 0].sum())
             if kept:
-                n += _append(out, folder, name, columns, *kept)
+                n += _append(out, folder, name, columns, *kept, total if running else None)
         finally:
             for f in out.values():
                 f.close()
@@ -156,14 +175,15 @@ def write_shards(parts: DataFrame, shards: int, spark_path: str, columns: tuple[
             yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64()), "least": pa.array([least], pa.int64())})
 
     rows = dealt.select("pid", "key", *columns).mapInArrow(run, "name string, n bigint, least bigint").collect()
-    return Shards(folder, sorted([(r.name, r.n, r.least) for r in rows], key=lambda r: r[2]), columns)
+    return Shards(folder, sorted([(r.name, r.n, r.least) for r in rows], key=lambda r: r[2]), columns, running)
 
 
-def _append(out: dict, folder: str, name: str, columns: tuple[str, ...], k: np.ndarray, v: np.ndarray) -> int:
-    for i, c in enumerate(("key", *columns)):
+def _append(out: dict, folder: str, name: str, columns: tuple[str, ...], k: np.ndarray, v: np.ndarray, total: int | None) -> int:
+    arrays = {"key": k} | {c: v[:, i] for i, c in enumerate(columns)} | ({} if total is None else {"sum": np.cumsum(v[:, 0]) + total})
+    for c, a in arrays.items():
         if c not in out:
             out[c] = open(f"{folder}/{name}.{c}", "wb")
-        np.ascontiguousarray(k if i == 0 else v[:, i - 1], dtype=np.int64).tofile(out[c])
+        np.ascontiguousarray(a, dtype=np.int64).tofile(out[c])
     return len(k)
 
 
@@ -224,7 +244,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             k, n = np.unique(np.concatenate(chunk), return_counts=True)
             yield from _rows((k.astype(np.float64) / 2.0**63 * shards).astype(np.int64).clip(0, shards - 1), k, n[:, None], ("n",))
 
-    words = write_shards(d.mapInArrow(count_words, "pid int, key bigint, n bigint"), shards, f"{root}/words", ("n",))
+    words = write_shards(d.mapInArrow(count_words, "pid int, key bigint, n bigint"), shards, f"{root}/words", ("n",), running=True)
     distinct = words.rows()
     begin = distinct  # the number that stands before a text's first word
 
@@ -273,15 +293,17 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
 
 def _shard(keys: np.ndarray, known: Mapped, shards: int, begin: int) -> np.ndarray:
-    """The shard of each sorted key, by the share of tokens that its first word, and its second within it, come after."""
-    if not hasattr(known, "mass"):
-        n = np.concatenate([np.asarray(m["n"]) for m in known.maps] + [np.zeros(1, np.int64)]).astype(np.float64)
-        n[begin] = n[: begin or 1].max()  # texts begin about as often as the most frequent token, the end, comes
-        known.mass = np.concatenate(([0.0], np.cumsum(n)))
-    mass, total = known.mass, known.mass[-1]
+    """The shard of each sorted key, by the share of tokens that its first word, and its second within it, come after.
+
+    The mark before a text's first word stands last and is as frequent as the end.
+    """
+    starts_n = float(known.find(np.array([END]))[1][0][0])
+    tokens_n = float(known.before[-1])
     a, b = keys >> 32, keys & 0xFFFFFFFF
-    at = mass[a] + (mass[a + 1] - mass[a]) * (mass[b] / total)
-    return np.minimum((at / total * shards).astype(np.int64), shards - 1)
+    less, own = known.masses(a)
+    own = np.where(a == begin, starts_n, own)
+    at = less + own * (known.masses(b)[0] / max(1.0, tokens_n))
+    return np.minimum((at / max(1.0, tokens_n + starts_n) * shards).astype(np.int64), shards - 1)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[Column] | None = None) -> DataFrame:
