@@ -157,6 +157,8 @@ def test_near_duplicates_awkward(spark, awkward, empty):
     assert len(rows) == len(AWKWARD) and {r.class_id for r in rows if r.doc_id == 1} == {1}
     kept = near_dup.keep_first(awkward)
     assert kept.columns == awkward.columns
+    assert sorted(r.text for r in kept.filter("doc_id = 5").collect()) == ["another text of the same id", "the same row twice over and over again here"]
+    assert kept.count() == len(AWKWARD) - 1
     assert near_dup.classes(empty).count() == 0
 
 

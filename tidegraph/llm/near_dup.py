@@ -16,6 +16,7 @@ Candidates whose signatures agree are verified by the exact Jaccard similarity o
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -334,7 +335,28 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, that of the least doc_id, with the columns it came with."""
-    firsts = classes(docs, doc_id, text).filter("doc_id <=> class_id").select(F.col("doc_id").alias("_first")).distinct()
+    """One row of each class, that of the least doc_id, with the columns it came with.
+
+    Rows that share this id and their words count once; rows of one id with different words all stay if their id is
+    the least of a class. Rows without words stay as they are.
+    """
+    rows = stored(classes(docs, doc_id, text), "classes")
+    firsts = rows.filter("doc_id <=> class_id").select(F.col("doc_id").alias("_first")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return docs.select(row, F.col(f"`{doc_id}`").cast("bigint").alias("_id")).join(firsts, F.col("_id").eqNullSafe(F.col("_first")), "left_semi").select("row.*")
+    kept = docs.select(row, F.col(f"`{doc_id}`").cast("bigint").alias("_id"), F.col(f"`{text}`").alias("_t")).join(firsts, F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
+    repeated = rows.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").select("_again")
+    if not repeated.limit(1).count():
+        return kept.select("row.*")
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [normal(t) for t in batch.column(2).to_pylist()]
+            prints = [hashlib.blake2b(x, digest_size=16).digest() if x else uuid.uuid4().bytes for x in flat]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=["row", "_id", "_t", "_p"])
+
+    from pyspark.sql.types import StructType
+
+    same = F.col("_id").eqNullSafe(F.col("_again"))
+    again = kept.join(repeated, same, "left_semi")
+    once = again.mapInArrow(printed, StructType(again.schema.fields + StructType.fromDDL("_p binary").fields)).dropDuplicates(["_id", "_p"])
+    return kept.join(repeated, same, "left_anti").select("row.*").unionByName(once.select("row.*"))
