@@ -19,23 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import mix, runs
 from .util import fresh_path
 
 CHUNK_TOKENS = 2_000_000
 TOKENS_A_SHARD = 4_000_000
 MOST_SHARDS = 8192
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 END = int(mix(np.array([0x5EED], dtype=np.uint64))[0] >> np.uint64(1))
 
 
@@ -54,13 +44,7 @@ def tokens(text: str | None) -> np.ndarray:
     flat = b" ".join((text or "").encode("utf-8", "replace").translate(_FOLD).split())
     if not flat:
         return np.array([END], dtype=np.int64)
-    b = np.frombuffer(flat, dtype=np.uint8)
-    up, down = _powers(len(b))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * up[: len(b)], dtype=np.uint64)))
-    gaps = np.flatnonzero(b == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(b)]))
-    h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD) >> np.uint64(1)
-    return np.concatenate((h.astype(np.int64), [END]))
+    return np.concatenate(((runs(flat, 1) >> np.uint64(1)).astype(np.int64), [END]))
 
 
 @dataclass

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import ODD, mix, runs
 from .util import stored
 
 WORDS = 5
@@ -35,30 +36,6 @@ SMALL = 12
 BLOCK = 1024
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (xor-shift and multiply); wraps."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if len(_POWERS.get("up", ())) < n:
-        size, base = max(1 << 16, 1 << n.bit_length()), 0xD1342543DE82EF95
-        inverse = pow(base, -1, 1 << 64)
-        for name, b in (("up", base), ("down", inverse)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
 
 
 def normal(text: str | None) -> bytes:
@@ -67,19 +44,8 @@ def normal(text: str | None) -> bytes:
 
 
 def shingles(flat: bytes, words: int = WORDS) -> np.ndarray:
-    """A 64-bit hash of each run of words, in order, from prefix sums of the normalised bytes."""
-    if not flat:
-        return np.empty(0, np.uint64)
-    b = np.frombuffer(flat, dtype=np.uint8)
-    up, down = _powers(len(b))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * up[: len(b)], dtype=np.uint64)))
-    gaps = np.flatnonzero(b == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(b)]))
-    if len(starts) > words:
-        starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    """A 64-bit hash of each run of words, in order."""
+    return runs(flat, words)
 
 
 def signatures(docs: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
@@ -108,12 +74,12 @@ def _arrivals(sets: list[tuple[np.ndarray, np.ndarray]], registers: int, burst:
     digest = (elem >> np.uint64(32)).astype(np.uint32)
     time, steps, done = np.zeros(len(elem)), np.arange(1, burst + 1, dtype=np.uint64), 0
     while len(elem):
-        state = mix(elem[:, None] + (steps + np.uint64(done)) * _ODD)
+        state = mix(elem[:, None] + (steps + np.uint64(done)) * ODD)
         done += burst
         gap = -np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight[:, None]
         gap[:, 0] += time
         at = np.cumsum(gap, axis=1)
-        slot = doc[:, None] * registers + (((mix(state ^ _ODD) >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)).astype(np.int64)
+        slot = doc[:, None] * registers + (((mix(state ^ ODD) >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)).astype(np.int64)
         better = at < best[slot]
         s, t, g = slot[better], at[better], np.broadcast_to(digest[:, None], slot.shape)[better]
         np.minimum.at(best, s, t)
@@ -128,9 +94,9 @@ def _arrivals(sets: list[tuple[np.ndarray, np.ndarray]], registers: int, burst:
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
     parts = sig.astype(np.uint64).reshape(len(sig), BANDS, ROWS)
-    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD), (len(sig), BANDS)).copy()
+    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64) * ODD), (len(sig), BANDS)).copy()
     for r in range(ROWS):
-        key = mix(key ^ (parts[:, :, r] + np.uint64((r + 1) * int(_ODD) % (1 << 64))))
+        key = mix(key ^ (parts[:, :, r] + np.uint64((r + 1) * int(ODD) % (1 << 64))))
     return key.view(np.int64)
 
 
