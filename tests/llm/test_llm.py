@@ -152,6 +152,34 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert got == brute_classes(docs)
 
 
+@pytest.mark.parametrize("small", [12, 1])
+def test_near_duplicates_with_a_repeated_footer(spark, monkeypatch, small):
+    """The sets are similar and share a band, though a passage repeated 100 times keeps the weighted signatures apart."""
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    docs = {}
+    for seed in (0, 2, 3, 4, 6):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("aeioubcdfg") for _ in range(8))  # noqa: B023, E731
+        body, _, footer = ([word() for _ in range(n)] for n in (124, 16, 20))
+        docs |= {2 * seed: " ".join(body), 2 * seed + 1: " ".join(body + footer * 100)}
+        sig = near_dup.signatures([near_dup.shingles(near_dup.normal(docs[2 * seed + i])) for i in (0, 1)])
+        keys = near_dup.band_keys(sig)
+        assert (sig[0] == sig[1]).mean() < 0.6 and (keys[0] == keys[1]).any()
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(d).collect()}
+    assert got == brute_classes(docs) == {k: k - k % 2 for k in docs}
+
+
+def test_possible_pairs_keep_every_similar_pair():
+    rng = np.random.default_rng(3)
+    for n in (5, 40, 400, 4000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.union1d(a[len(a) // 10 :], rng.integers(0, 2**63, n // 10).astype(np.uint64))
+        x, y = (np.frombuffer(near_dup.bitmap(s), np.uint8) for s in (a, b))
+        both = len(np.intersect1d(a, b))
+        assert both <= min(len(a) - np.bitwise_count(x & ~y).sum(dtype=np.int64), len(b) - np.bitwise_count(y & ~x).sum(dtype=np.int64))
+
+
 def test_near_duplicates_awkward(spark, awkward, empty):
     rows = near_dup.classes(awkward).collect()
     assert len(rows) == len(AWKWARD) and {r.class_id for r in rows if r.doc_id == 1} == {1}

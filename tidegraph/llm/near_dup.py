@@ -10,7 +10,9 @@ Equal texts collapse first. Registers are banded; documents of a band's bucket a
   registers, so a large group of true copies costs one pair a member and is linked through its centre;
 * members of large buckets that these links leave in different classes are compared in blocks of bounded size dealt
   over tasks, and only links that join classes come out. No bucket is dropped, and no link between classes is lost.
-Candidates whose signatures agree are verified by the exact Jaccard similarity of their shingle sets.
+Candidates are verified by the exact Jaccard similarity of their shingle sets, whatever their signatures' agreement:
+registers follow the weights, links the sets, and a repeated passage sets the two apart. Only pairs that the sets'
+sizes and bitmaps prove to be under the limit are left out before.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-LIKELY = 0.6  # agreement of signatures under which a pair of 0.8 is out of question: over five standard deviations
+BITS = 2048
 SMALL = 12
 BLOCK = 1024
 
@@ -101,7 +103,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketched(d: DataFrame) -> DataFrame:
-    """id, print (digest of the words; null without words), sig (16 bits a register) and band keys of rows (id, text)."""
+    """id, print (digest of the words; null without words), sig (16 bits a register), band keys, size and bitmap of the shingle set of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -109,31 +111,46 @@ def _sketched(d: DataFrame) -> DataFrame:
                 batch = whole.slice(lo, 128)
                 flat = [normal(t) for t in batch.column(1).to_pylist()]
                 prints = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in flat]
-                sig = signatures([shingles(x) for x in flat])
+                runs_of = [shingles(x) for x in flat]
+                sig, sets = signatures(runs_of), [np.unique(s) for s in runs_of]
                 keys, low = band_keys(sig), sig.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(prints, pa.binary()), pa.array([r.tobytes() if p else None for r, p in zip(low, prints)], pa.binary()), pa.array([list(k) if p else None for k, p in zip(keys, prints)], pa.list_(pa.int64()))],
-                    names=["id", "print", "sig", "bands"],
+                    [batch.column(0), pa.array(prints, pa.binary()), pa.array([r.tobytes() if p else None for r, p in zip(low, prints)], pa.binary()), pa.array([list(k) if p else None for k, p in zip(keys, prints)], pa.list_(pa.int64())),
+                     pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) if p else None for s, p in zip(sets, prints)], pa.binary())],
+                    names=["id", "print", "sig", "bands", "size", "bits"],
                 )
 
-    return d.mapInArrow(run, "id bigint, print binary, sig binary, bands array<bigint>")
+    return d.mapInArrow(run, "id bigint, print binary, sig binary, bands array<bigint>, size int, bits binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), REGISTERS)
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in LIKELY of the registers."""
-    a, b = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+def bitmap(shingle_set: np.ndarray) -> bytes:
+    """BITS bits, those set that some shingle of the set falls on."""
+    on = np.zeros(BITS, dtype=bool)
+    on[(shingle_set >> np.uint64(20)) % np.uint64(BITS)] = True
+    return np.packbits(on).tobytes()
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those that are proven to be under SIMILARITY.
+
+    Each bit that only one of two bitmaps has stands for a shingle at least that the other set lacks, which bounds the
+    number of common shingles from above, so no similar pair is left out.
+    """
+    a, b = (nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_registers(batch.column(2)) == _registers(batch.column(3))).mean(axis=1) >= LIKELY
-                yield batch.select([0, 1]).filter(pa.array(same))
+                m, n = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+                most = np.minimum(m - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+                yield batch.select([0, 1]).filter(pa.array(most >= SIMILARITY * (m + n - most)))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -206,20 +223,22 @@ def _centres(large: DataFrame, nodes: DataFrame) -> DataFrame:
 def _rest(large: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between members of large buckets that are still in different classes.
 
-    Blocks of a bucket meet two at a time. Signatures tell the likely pairs, the most alike first; their shingle sets
-    are compared unless a link found before has joined their classes, so a task gives a link a class at most.
+    Blocks of a bucket meet two at a time. A member's common shingles with all members of the other block are counted
+    through the sorted shingles of that block; a similar pair is a link unless one found before has joined its classes,
+    so a task gives a link a class at most.
     """
     d = large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = d.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     d = stored(d.join(mixed, "bucket", "left_semi"), "mixed")
-    d = d.join(nodes.select("node", "sig"), "node").join(_sets(d.select("node").distinct(), nodes, docs), "node")
+    d = d.join(_sets(d.select("node").distinct(), nodes, docs), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     d = d.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    d = d.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "comp", "sig", "set")
+    d = d.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "comp", "set")
 
     def compare(table: pa.Table) -> pa.Table:
         t = table.to_pydict()
-        own, sig, sets = np.array(t["own"]), np.frombuffer(b"".join(t["sig"]), dtype=np.uint16).reshape(-1, REGISTERS), t["set"]
+        own, sets = np.array(t["own"]), [np.frombuffer(x, np.uint64) for x in t["set"]]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
         comp = np.unique(np.array([c.hex() for c in t["comp"]]), return_inverse=True)[1]
         parent = list(range(len(own)))
 
@@ -229,20 +248,25 @@ def _rest(large: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataFrame)
             return i
 
         left, right, a, b = np.flatnonzero(own == t["p"][0]), np.flatnonzero(own == t["q"][0]), [], []
-        for lo in range(0, len(left), 64):
-            part = left[lo : lo + 64]
-            same = np.zeros((len(part), len(right)), dtype=np.int32)
-            for r in range(REGISTERS):
-                same += sig[part, r][:, None] == sig[right, r][None, :]
-            x, y = np.nonzero((same >= LIKELY * REGISTERS) & (comp[part][:, None] != comp[right][None, :]))
-            order = np.argsort(-same[x, y], kind="stable")
-            for i, j in zip(part[x[order]], right[y[order]]):
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        words, at = np.concatenate([sets[j] for j in right]), np.repeat(np.arange(len(right)), size[right])
+        order = np.argsort(words, kind="stable")
+        words, at = words[order], at[order]
+        for i in left:
+            other = comp[right] != comp[i]
+            if not other.any():
+                continue
+            lo = np.searchsorted(words, sets[i], side="left")
+            n = np.searchsorted(words, sets[i], side="right") - lo
+            both = np.bincount(at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(right))
+            for j in right[other & (both >= SIMILARITY * (size[i] + size[right] - both))]:
                 ci, cj = root(comp[i]), root(comp[j])
-                if ci != cj and similar(sets[i], sets[j]):
+                if ci != cj:
                     parent[ci] = cj
-                    m, n = sorted((t["node"][i], t["node"][j]))
-                    a.append(m)
-                    b.append(n)
+                    p, q = sorted((t["node"][i], t["node"][j]))
+                    a.append(p)
+                    b.append(q)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return d.groupBy("bucket", "p", "q").applyInArrow(compare, "a binary, b binary").distinct()
@@ -276,7 +300,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     d = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     sketch = stored(_sketched(d), "sketch")
-    nodes = stored(sketch.filter("print IS NOT NULL").dropDuplicates(["print"]).select(F.col("print").alias("node"), "id", "sig", "bands"), "nodes")
+    nodes = stored(sketch.filter("print IS NOT NULL").dropDuplicates(["print"]).select(F.col("print").alias("node"), "sig", "bands", "size", "bits", "id"), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(rows.join(sizes, "bucket"), "buckets")
@@ -285,8 +309,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     pairs = x.join(y, "bucket").filter("a < b").select("a", "b").distinct()
     if any_large := bool(large.limit(1).count()):
         pairs = pairs.unionByName(_centres(large, nodes)).distinct()
-    likely = stored(_likely(pairs, nodes), "likely")
-    links = stored(_verified(likely, nodes, d), "links")
+    possible = stored(_possible(pairs, nodes), "possible")
+    links = stored(_verified(possible, nodes, d), "links")
     comps = components(links)
     if any_large:
         rest = stored(_rest(large, nodes, comps, d), "rest")
