@@ -16,7 +16,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = secrets.scan(table(spark, sf_dir, "documents"))
+    d = secrets.scan(table(spark, sf_dir, "documents"), reach=None)
     digest = F.sha2(secrets.joined("base_spans").cast("binary"), 256)
     return d.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets.joined("spans").alias("spans"), "n_linked")
 
