@@ -91,6 +91,14 @@ def test_secrets_of_env_files_and_whole_scopes(spark):
         assert ends == {len(env)} and got[2].spans[-1].end == len(texts[2])
 
 
+def test_repeated_rows_make_their_pairs_once(spark):
+    d = spark.createDataFrame([("1:x", "user: bob\npwd: hunter22")] * 40, "_key string, _t string")
+    assert secrets._links(d, 256).count() == 1
+    plan = secrets._links(d, 256)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :]
+    assert join.count("Aggregate") == 2  # both sides are distinct before they meet
+
+
 def test_bpe(spark, awkward, empty):
     import tiktoken
 

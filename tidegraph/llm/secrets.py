@@ -69,7 +69,7 @@ def _links(docs: DataFrame, reach: int | None) -> DataFrame:
         d = d.select("_key", "o", F.explode(F.expr("filter(w, x -> last >= x.end OR first <= x.start)")).alias("x"))
         return d.select("_key", F.expr("o + x.start").alias("start"), F.expr("o + x.end").alias("end"))
     d = d.withColumn("both", F.expr(f"concat({_spans('w', 1, 'o')}, {_spans('p', 0, 'o')})")).filter("size(w_h) > 0 AND size(p_h) > 0")
-    d = d.select("_key", "scope", F.explode("both").alias("x")).select("_key", "scope", "x.start", "x.end", "x.k")
+    d = d.select("_key", "scope", F.explode("both").alias("x")).select("_key", "scope", "x.start", "x.end", "x.k").distinct()  # equal rows make their pairs once
     secrets = d.filter("k = 1").withColumn("bin", F.explode(F.array_distinct(F.array(F.expr(f"start div {reach}"), F.expr(f"end div {reach}")))))
     parts = d.filter("k = 0").select("_key", "scope", F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.explode(F.expr(f"sequence((start - {reach}) div {reach} - 1, (end + {reach}) div {reach})")).alias("bin"))
     near = (F.col("p_start") - F.col("end") <= reach) & (F.col("start") - F.col("p_end") <= reach)
