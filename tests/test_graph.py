@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidegraph.functions import chunking, text, vector
 from tidegraph.operators import community, filters, lookup, rerank, resolve, retrieve, temporal, traverse
 from tidegraph.operators.util import checkpoints
-from tidegraph.plans import search
+from tidegraph.plans import queries, search
+from tidegraph.sources.views import view
 from tidegraph.sources.store import GraphStore, NotFound, merge
 
 EDGE = "uuid string, source_node_uuid string, target_node_uuid string"
@@ -206,3 +207,27 @@ def test_readers(spark, tmp_path):
     assert got == [("Ann: Hello there", dt.datetime(2024, 1, 1, 0, 1, 2)), ("Speaker 1: Hi\nagain", dt.datetime(2024, 1, 1, 0, 0, 3))]
     o = readers.ontology(spark, '{"entity_types": [{"name": "Person", "fields": [{"name": "age", "type": "int"}]}], "edge_types": [{"name": "KNOWS", "signatures": [{"source": "Person", "target": "Person"}]}]}')
     assert o.count() == 2
+
+
+def _all(spark, name):
+    return queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+
+
+def test_queries_over_all_entities_and_facts(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = values(view(spark, sf, "entity_edge"), "source_node_uuid", "target_node_uuid")
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert {r.uuid: r.root for r in _all(spark, "connected_components_all")} == {x: find(x) for x in root}
+    names = set(values(view(spark, sf, "entity"), "uuid"))
+    customers = {x for x in names if x.startswith("c:")}
+    assert {r.uuid: r.root for r in _all(spark, "directed_uuid_map_all")} == dict.fromkeys(customers, "c:0")
+    assert {r.uuid for r in _all(spark, "resolve_nodes")} == {"x" + x for x in names}

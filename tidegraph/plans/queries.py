@@ -398,7 +398,7 @@ def shingle_jaccard(spark, sf):
 
 
 def _aliases(spark, sf) -> tuple[DataFrame, DataFrame]:
-    known = view(spark, sf, "entity").filter("uuid LIKE 's:%'")
+    known = view(spark, sf, "entity")
     return known.select(F.concat(F.lit("x"), "uuid").alias("uuid"), F.replace(F.upper("name"), F.lit("#"), F.lit("  # ")).alias("name")), known
 
 
@@ -425,6 +425,15 @@ def connected_components(spark, sf):
     return resolve.components(_pairs(spark, sf).filter("a LIKE 'n:%'"))
 
 
+@query("connected_components_all")
+def connected_components_all(spark, sf):
+    """Over all facts; connected_components and its SQL keep to nations and regions."""
+    from ..operators.util import checkpoints
+
+    checkpoints(spark)
+    return resolve.components(view(spark, sf, "entity_edge").select(F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b")))
+
+
 @query("directed_uuid_map", "entity", "SELECT uuid, 'c:0' AS root FROM entity WHERE uuid LIKE 'c:_' OR uuid LIKE 'c:1_'")
 def directed_uuid_map(spark, sf):
     from ..operators.util import checkpoints
@@ -435,6 +444,17 @@ def directed_uuid_map(spark, sf):
     return resolve.directed_map(c.select(F.col("uuid").alias("a"), F.concat(F.lit("c:"), (n - 1).cast("string")).alias("b")).filter("a <> 'c:0'"))
 
 
+@query("directed_uuid_map_all")
+def directed_uuid_map_all(spark, sf):
+    """The chain over all customers; directed_uuid_map and its SQL keep to twenty."""
+    from ..operators.util import checkpoints
+
+    checkpoints(spark)
+    c = view(spark, sf, "entity").filter(F.array_contains("labels", "Customer"))
+    n = F.split("uuid", ":")[1].cast("bigint")
+    return resolve.directed_map(c.select(F.col("uuid").alias("a"), F.concat(F.lit("c:"), (n - 1).cast("string")).alias("b")).filter("a <> 'c:0'"))
+
+
 @query("pointer_rewrite", "entity_edge", "SELECT uuid, CASE WHEN source_node_uuid LIKE 'c:1%' THEN 'c:0' ELSE source_node_uuid END AS source_node_uuid, target_node_uuid FROM entity_edge WHERE name = 'LOCATED_IN'")
 def pointer_rewrite(spark, sf):
     roots = view(spark, sf, "entity").filter("uuid LIKE 'c:1%'").select("uuid", F.lit("c:0").alias("root"))
