@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,16 @@ def test_queries_over_all_entities_and_facts(spark):
     customers = {x for x in names if x.startswith("c:")}
     assert {r.uuid: r.root for r in _all(spark, "directed_uuid_map_all")} == dict.fromkeys(customers, "c:0")
     assert {r.uuid for r in _all(spark, "resolve_nodes")} == {"x" + x for x in names}
+
+
+def test_invalidation_within_a_key_equals_all_pairs(spark):
+    rng = random.Random(4)
+    day = lambda: None if rng.random() < 0.2 else dt.datetime(2024, 1, rng.randint(1, 28))
+    rows = [(f"f{i}", rng.choice("abc"), day(), day(), day()) for i in range(150)] + [("z", None, day(), None, None)]
+    facts = spark.createDataFrame(rows, "uuid string, k string, valid_at timestamp_ntz, invalid_at timestamp_ntz, expired_at timestamp_ntz")
+    pairs = facts.alias("o").join(facts.alias("n"), "k").filter("o.uuid <> n.uuid").select(F.col("o.uuid").alias("old"), F.col("n.uuid").alias("new"))
+    now = F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz")
+    want = {tuple(r) for r in temporal.invalidate(facts, facts, pairs, now).collect()}
+    assert {tuple(r) for r in temporal.invalidate_within(facts, "k", now).collect()} == want
+    bought = view(spark, "/root/testdata/sf0.001", "entity_edge").filter("name = 'BOUGHT'")
+    assert {r.uuid for r in _all(spark, "invalidate_edges_all")} == set(values(bought, "uuid"))

@@ -48,6 +48,20 @@ def invalidate(old: DataFrame, new: DataFrame, pairs: DataFrame, now: Column) ->
     return old.join(ends, "uuid", "left").withColumn("invalid_at", F.coalesce("_end", "invalid_at")).withColumn("expired_at", F.when(F.col("_end").isNotNull(), F.coalesce("expired_at", now)).otherwise(F.col("expired_at"))).select(*old.columns)
 
 
+def invalidate_within(facts: DataFrame, key: str, now: Column) -> DataFrame:
+    """`invalidate` for all pairs of facts that share `key`, in one window pass and without making the pairs.
+
+    A later fact n meets o if n begins after o does and n's end, if any, is later too: if the lesser of n's ends comes
+    after o's beginning. o ends at the earliest such beginning, unless it has ended by then.
+    """
+    marks = facts.select(F.col(key).alias("_k"), F.least("valid_at", "invalid_at").alias("_t"), F.lit(1).alias("_n"), F.col("valid_at").alias("_v"), F.lit(None).cast("string").alias("_u"), F.lit(None).cast("timestamp_ntz").alias("_i"))
+    asked = facts.select(F.col(key).alias("_k"), F.col("valid_at").alias("_t"), F.lit(0).alias("_n"), F.lit(None).cast("timestamp_ntz").alias("_v"), F.col("uuid").alias("_u"), F.col("invalid_at").alias("_i"))
+    both = marks.filter("_v IS NOT NULL").unionByName(asked.filter("_t IS NOT NULL")).filter("_k IS NOT NULL")
+    w = Window.partitionBy("_k").orderBy(F.desc("_t"), "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = both.withColumn("_end", F.min("_v").over(w)).filter("_n = 0 AND _end IS NOT NULL AND (_i IS NULL OR _i > _end)").select(F.col("_u").alias("uuid"), "_end")
+    return facts.join(ends, "uuid", "left").withColumn("invalid_at", F.coalesce("_end", "invalid_at")).withColumn("expired_at", F.when(F.col("_end").isNotNull(), F.coalesce("expired_at", now)).otherwise(F.col("expired_at"))).select(*facts.columns)
+
+
 def settle_new(new: DataFrame, candidates: DataFrame, now: Column) -> DataFrame:
     """New facts against candidates (new, valid_at): closed ones expire now; an open one ends at the earliest later candidate."""
     c = candidates.select(F.col("new").alias("uuid"), F.col("valid_at").alias("c_valid"))

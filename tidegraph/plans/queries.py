@@ -331,9 +331,14 @@ SELECT b.uuid, strftime(coalesce(e, b.invalid_at), '%Y-%m-%d %H:%M:%S') AS inval
 )
 def invalidate(spark, sf):
     b = view(spark, sf, "entity_edge").filter("name = 'BOUGHT' AND target_node_uuid LIKE 'p:1%'").withColumn("expired_at", F.lit(None).cast("timestamp_ntz"))
-    o, n = (b.select("source_node_uuid", F.col("uuid").alias(k)) for k in ("old", "new"))
-    pairs = o.join(n, "source_node_uuid").filter("old <> new").select("old", "new")
-    return temporal.invalidate(b, b, pairs, F.lit(DAY).cast("timestamp_ntz")).select("uuid", _ts("invalid_at"), _ts("expired_at"))
+    return temporal.invalidate_within(b, "source_node_uuid", F.lit(DAY).cast("timestamp_ntz")).select("uuid", _ts("invalid_at"), _ts("expired_at"))
+
+
+@query("invalidate_edges_all")
+def invalidate_all(spark, sf):
+    """Over all BOUGHT facts; invalidate_edges and its SQL keep to some parts."""
+    b = view(spark, sf, "entity_edge").filter("name = 'BOUGHT'").withColumn("expired_at", F.lit(None).cast("timestamp_ntz"))
+    return temporal.invalidate_within(b, "source_node_uuid", F.lit(DAY).cast("timestamp_ntz")).select("uuid", _ts("invalid_at"), _ts("expired_at"))
 
 
 @query("validity_intervals", "entity_edge", f"SELECT uuid, {_sts('valid_at')}, {_sts('invalid_at')} FROM entity_edge WHERE name = 'BOUGHT'")
