@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,20 @@ def test_invalidation_within_a_key_equals_all_pairs(spark):
     assert {tuple(r) for r in temporal.invalidate_within(facts, "k", now).collect()} == want
     bought = view(spark, "/root/testdata/sf0.001", "entity_edge").filter("name = 'BOUGHT'")
     assert {r.uuid for r in _all(spark, "invalidate_edges_all")} == set(values(bought, "uuid"))
+
+
+def test_queries_over_all_vectors_and_settled_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r.uuid: (r.group_id, np.array(r.embedding, dtype=float)) for r in view(spark, sf, "vectors").collect()}
+    cos = lambda a, b: float(rows[a][1] @ rows[b][1] / np.linalg.norm(rows[a][1]) / np.linalg.norm(rows[b][1]))
+    best = sorted(rows, key=lambda u: (-cos("v:0", u), u))[:40]
+    assert {r.uuid for r in _all(spark, "mmr_rerank_all")} == set(best)
+    want = set()
+    for p in (u for u in rows if int(u[2:]) % 50 == 0):
+        near = [u for u in rows if rows[u][0] == rows[p][0] and cos(p, u) > 0]
+        want |= {(p, u) for u in sorted(near, key=lambda u: (-cos(p, u), u))[:5]}
+    assert {(r.probe, r.uuid) for r in _all(spark, "relevant_nodes_all")} == want
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 2) for i in range(30)] + [(f"n{i + 1:02}", f"n{i:02}", 1) for i in range(30)], "n string, m string, weight long")
+    nodes = spark.createDataFrame([(f"n{i:02}", "g") for i in range(31)], "uuid string, group_id string")
+    checkpoints(spark)
+    assert len({r.label for r in community.propagate(nodes, chain, None).collect()}) < len({r.label for r in community.propagate(nodes, chain).collect()})

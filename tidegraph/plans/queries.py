@@ -116,6 +116,14 @@ def relevant_nodes(spark, sf):
     return retrieve.per_probe(probes, v, ["group_id"], "pe", "embedding", 5, 0.0).select("probe", "uuid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("relevant_nodes_all")
+def relevant_nodes_all(spark, sf):
+    """Probes are all ids divisible by 50; relevant_nodes and its SQL search four."""
+    v = view(spark, sf, "vectors")
+    probes = v.filter(F.split("uuid", ":")[1].cast("bigint") % 50 == 0).select(F.col("uuid").alias("probe"), "group_id", F.col("embedding").alias("pe"))
+    return retrieve.per_probe(probes, v, ["group_id"], "pe", "embedding", 5, 0.0).select("probe", "uuid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 # ---- filters and lookups
 
 _DATE_SQL = "SELECT uuid FROM entity_edge WHERE ((valid_at >= TIMESTAMP '1996-01-01' AND valid_at < TIMESTAMP '1996-03-01') OR valid_at IS NULL) AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '1997-01-01')"
@@ -267,6 +275,14 @@ def mmr_rerank(spark, sf):
     return rerank.mmr(c, _q(spark, sf), 0.5, -1e9).select("uuid", F.round("score", 5).alias("score"))
 
 
+@query("mmr_rerank_all")
+def mmr_rerank_all(spark, sf):
+    """Candidates are the best 40 of all vectors, twice a limit of 20; mmr_rerank and its SQL take 20 ids of a group."""
+    v, q = view(spark, sf, "vectors"), _q(spark, sf)
+    c = v.join(retrieve.by_vector(v, q, "embedding", 40, -2.0).select("uuid"), "uuid", "left_semi")
+    return rerank.mmr(c, q, 0.5, -1e9).select("uuid", F.round("score", 5).alias("score"))
+
+
 _DIST = f"""SELECT e.uuid, CASE WHEN e.uuid = '{CENTRE}' THEN 10.0 WHEN n.uuid IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM entity e LEFT JOIN
 (SELECT DISTINCT CASE WHEN source_node_uuid = '{CENTRE}' THEN target_node_uuid ELSE source_node_uuid END AS uuid FROM entity_edge WHERE source_node_uuid = '{CENTRE}' OR target_node_uuid = '{CENTRE}') n ON n.uuid = e.uuid WHERE e.group_id IN ('g1', 'g4')"""
 
@@ -490,6 +506,15 @@ def label_propagation(spark, sf):
     return community.propagate(view(spark, sf, "entity"), community.projection(view(spark, sf, "entity_edge").filter("name = 'BOUGHT'")), 2)
 
 
+@query("label_propagation_all")
+def label_propagation_all(spark, sf):
+    """Over all facts until the labels settle; label_propagation_2_rounds and its SQL stop after two on BOUGHT facts."""
+    from ..operators.util import checkpoints
+
+    checkpoints(spark)
+    return community.propagate(view(spark, sf, "entity"), community.projection(view(spark, sf, "entity_edge")), None)
+
+
 @query("entity_community_mode", "entity entity_edge", "WITH m AS (SELECT 'k:' || group_id AS c, uuid FROM entity WHERE uuid LIKE 'n:%'), v AS (SELECT DISTINCT n, mm FROM (SELECT source_node_uuid AS n, target_node_uuid AS mm FROM entity_edge WHERE name = 'LOCATED_IN' UNION ALL SELECT target_node_uuid, source_node_uuid FROM entity_edge WHERE name = 'LOCATED_IN')), k AS (SELECT n AS uuid, c, count(*) AS k FROM v JOIN m ON m.uuid = v.mm GROUP BY n, c) SELECT uuid, c AS community, false AS is_new FROM m UNION ALL SELECT uuid, c, true FROM k WHERE uuid NOT IN (SELECT uuid FROM m) QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY k DESC, c) = 1")
 def entity_community(spark, sf):
     members = view(spark, sf, "entity").filter("uuid LIKE 'n:%'").select(F.concat(F.lit("k:"), "group_id").alias("source_node_uuid"), F.col("uuid").alias("target_node_uuid"))
