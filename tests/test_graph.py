@@ -244,6 +244,8 @@ def test_invalidation_within_a_key_equals_all_pairs(spark):
     now = F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz")
     want = {tuple(r) for r in temporal.invalidate(facts, facts, pairs, now).collect()}
     assert {tuple(r) for r in temporal.invalidate_within(facts, "k", now).collect()} == want
+    again = facts.unionByName(facts)  # rows that repeat a uuid are not multiplied
+    assert temporal.invalidate_within(again, "k", now).count() == 2 * len(rows)
     bought = view(spark, "/root/testdata/sf0.001", "entity_edge").filter("name = 'BOUGHT'")
     assert {r.uuid for r in _all(spark, "invalidate_edges_all")} == set(values(bought, "uuid"))
 

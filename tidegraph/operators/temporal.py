@@ -58,7 +58,7 @@ def invalidate_within(facts: DataFrame, key: str, now: Column) -> DataFrame:
     asked = facts.select(F.col(key).alias("_k"), F.col("valid_at").alias("_t"), F.lit(0).alias("_n"), F.lit(None).cast("timestamp_ntz").alias("_v"), F.col("uuid").alias("_u"), F.col("invalid_at").alias("_i"))
     both = marks.filter("_v IS NOT NULL").unionByName(asked.filter("_t IS NOT NULL")).filter("_k IS NOT NULL")
     w = Window.partitionBy("_k").orderBy(F.desc("_t"), "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = both.withColumn("_end", F.min("_v").over(w)).filter("_n = 0 AND _end IS NOT NULL AND (_i IS NULL OR _i > _end)").select(F.col("_u").alias("uuid"), "_end")
+    ends = both.withColumn("_end", F.min("_v").over(w)).filter("_n = 0 AND _end IS NOT NULL AND (_i IS NULL OR _i > _end)").groupBy(F.col("_u").alias("uuid")).agg(F.min("_end").alias("_end"))
     return facts.join(ends, "uuid", "left").withColumn("invalid_at", F.coalesce("_end", "invalid_at")).withColumn("expired_at", F.when(F.col("_end").isNotNull(), F.coalesce("expired_at", now)).otherwise(F.col("expired_at"))).select(*facts.columns)
 
 
