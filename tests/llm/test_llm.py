@@ -122,8 +122,19 @@ def test_bpe(spark, awkward, empty):
     assert {r.k: r.bytes and bytes(r.bytes) for r in d.collect()} in ({1: None, 2: b""}, {1: None, 2: bytearray(b"")})
 
 
+def brute_similar(a, b, least=0.8):
+    """Jaccard of the sets, or probability Jaccard of the weights by its definition."""
+    both = a.keys() & b.keys()
+    if not both:
+        return False
+    if len(both) >= least * len(a.keys() | b.keys()) - 1e-9:
+        return True
+    x, y = ({k: 1 + math.log(n) for k, n in c.items()} for c in (a, b))
+    return (max(x.values()) > 1 or max(y.values()) > 1) and sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in x.keys() | y.keys()) for d in both) >= least
+
+
 def brute_classes(docs, least=0.8):
-    sets = {k: set(near_dup.shingles(near_dup.normal(t)).tolist()) for k, t in docs.items()}
+    sets = {k: Counter(near_dup.shingles(near_dup.normal(t)).tolist()) for k, t in docs.items()}
     root = {k: k for k in docs}
 
     def find(x):
@@ -134,8 +145,7 @@ def brute_classes(docs, least=0.8):
     keys = sorted(k for k in docs if sets[k])
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            both = len(sets[a] & sets[b])
-            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+            if find(a) != find(b) and brute_similar(sets[a], sets[b], least):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {k: find(k) for k in docs}
@@ -166,7 +176,6 @@ def made_documents(seed=1):
 @pytest.mark.parametrize("small", [12, 2])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(near_dup, "SMALL", small)
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
     docs = made_documents()
     d = spark.createDataFrame([(k, t) for k, t in docs.items()], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dup.classes(d).collect()}
@@ -191,6 +200,43 @@ def test_near_duplicates_with_a_repeated_footer(spark, monkeypatch, small):
     assert got == brute_classes(docs) == {k: k - k % 2 for k in docs}
 
 
+@pytest.mark.parametrize("small", [12, 1])
+def test_near_duplicates_with_repeated_shingles(spark, monkeypatch, small):
+    """Recall on texts that repeat passages: links by sets and links by weights are all found."""
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    rng, docs = random.Random(11), []
+    word = lambda: "".join(rng.choice("aeioubcdfg") for _ in range(8))
+    for _ in range(40):
+        body, passage = [word() for _ in range(rng.randint(20, 80))], [word() for _ in range(rng.randint(6, 40))]
+        for _ in range(3):
+            c = list(body)
+            c[rng.randrange(len(c))] = word()
+            docs.append(" ".join(c + passage * rng.choice((1, 2, 5, 50))))
+    docs = dict(enumerate(docs))
+    want = brute_classes(docs)
+    sets = {k: Counter(near_dup.shingles(near_dup.normal(t)).tolist()) for k, t in docs.items()}
+    for a in docs:  # the quick form of the weighted similarity is its definition
+        b = a - a % 3
+        x, y = (np.array(sorted(sets[k]), dtype=np.uint64) for k in (a, b))
+        p, q = (np.array([1 + math.log(sets[k][int(e)]) for e in v]) for k, v in ((a, x), (b, y)))
+        assert near_dup.similar(x, p, y, q) == brute_similar(sets[a], sets[b])
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.classes(d).collect()} == want
+    assert len(set(want.values())) < 0.8 * len(want)
+
+
+def test_keep_first_with_null_and_repeated_ids(spark):
+    a, b, c = ("one two three four five six", "another text that has seven plain words", "A text: that stands by itself, once.")
+    rows = [(3, a, "p"), (None, a, "q"), (None, b, "r"), (None, b, "s"), (5, c, "t"), (5, c, "u"), (5, c.upper(), "v"), (5, b + " more", "w"), (None, None, "x"), (None, "", "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    kept = [(r.doc_id, near_dup.normal(r.text)) for r in near_dup.keep_first(d).collect()]
+    norm = near_dup.normal
+    assert sorted(kept, key=str) == sorted([(3, norm(a)), (None, norm(b)), (5, norm(c)), (5, norm(b + " more")), (None, b""), (None, b"")], key=str)
+    named = near_dup.keep_first(d.withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string")))).collect()  # ids of another type
+    assert sorted(str(r.doc_id) for r in named) == ["None", "None", "None", "id3", "id5", "id5"]
+    assert {r.class_id for r in near_dup.classes(d).filter("doc_id = 3").collect()} == {3}
+
+
 def test_possible_pairs_keep_every_similar_pair():
     rng = np.random.default_rng(3)
     for n in (5, 40, 400, 4000):

@@ -4,21 +4,22 @@ A text's shingles are its runs of five words (fewer words: one shingle of all),
 a Poisson process of its weight; a signature register keeps the shingle whose point arrives first, and arrivals stop
 once they come later than the latest register. Two registers agree with the probability Jaccard similarity.
 
+Two texts are linked if the probability Jaccard similarity of their weighted shingles, or the Jaccard similarity of their
+shingle sets, is 0.8 or more. Both are the same unless a shingle repeats inside a text; a text in which one does is also
+signed with all weights one, so that bands are drawn for whichever similarity makes the link.
+
 Equal texts collapse first. Registers are banded; documents of a band's bucket are candidates:
 * a bucket of up to SMALL documents gives its pairs, so a row meets SMALL others at most;
-* a larger one gives each member's pair with the bucket's centre, the member that agrees best with the bucket's
-  registers, so a large group of true copies costs one pair a member and is linked through its centre;
-* members of large buckets that these links leave in different classes are compared in blocks of bounded size dealt
-  over tasks, and only links that join classes come out. No bucket is dropped, and no link between classes is lost.
-Candidates are verified by the exact Jaccard similarity of their shingle sets, whatever their signatures' agreement:
-registers follow the weights, links the sets, and a repeated passage sets the two apart. Only pairs that the sets'
-sizes and bitmaps prove to be under the limit are left out before.
+* a larger one gives each member's pair with the bucket's centre, the member that shares most buckets with others, so a
+  large group of true copies costs one pair a member and is linked through its centre;
+* members of large buckets that these links leave in different classes are joined on the rarest shingles that one of two
+  similar texts must share with the other (prefix filter). No bucket is dropped, and no link between classes is lost.
+Every candidate is verified on whole texts but those that sizes and bitmaps of the shingle sets prove to be unlike.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import ODD, mix, runs
-from .util import stored
+from .util import drop, parts, split_by, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -35,7 +36,7 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BITS = 2048
 SMALL = 12
-BLOCK = 1024
+SAMPLE, FREQUENT = 4096, 100_000  # texts and shingles that choose the order in which prefixes are cut, and nothing else
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -51,13 +52,17 @@ def shingles(flat: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def signatures(docs: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
-    """One row of registers per document (uint32 digests of shingles), from arrays of its shingle hashes; none: zeros.
+    """One row of registers per document (uint32 digests of shingles), from arrays of its shingle hashes; none: zeros."""
+    return _signed([np.unique(s, return_counts=True) for s in docs], registers)
+
+
+def _signed(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
+    """Signatures of (distinct shingles, counts).
 
     Documents run side by side, those of few shingles with more arrivals a round, as each needs about
     registers * ln(registers) of them; the arrivals themselves depend on shingle and weight alone.
     """
-    out = np.zeros((len(docs), registers), dtype=np.uint32)
-    sets = [np.unique(s, return_counts=True) for s in docs]
+    out = np.zeros((len(sets), registers), dtype=np.uint32)
     sizes = np.array([len(s[0]) for s in sets], dtype=np.int64)
     for low, high, burst in ((1, 8, 128), (8, 64, 24), (64, 256, 4), (256, 1 << 62, 1)):
         own = np.flatnonzero((sizes >= low) & (sizes < high))
@@ -66,10 +71,14 @@ def signatures(docs: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray
     return out
 
 
+def _weights(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.log(counts)
+
+
 def _arrivals(sets: list[tuple[np.ndarray, np.ndarray]], registers: int, burst: int) -> np.ndarray:
     """Rounds of `burst` points a process. A process ends when its next point comes after its document's latest register."""
     elem = np.concatenate([s[0] for s in sets])
-    weight = 1 + np.log(np.concatenate([s[1] for s in sets]))
+    weight = _weights(np.concatenate([s[1] for s in sets]))
     doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
     best = np.full(len(sets) * registers, np.inf)
     first = np.zeros(len(sets) * registers, dtype=np.uint32)
@@ -102,31 +111,6 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketched(d: DataFrame) -> DataFrame:
-    """id, print (digest of the words; null without words), sig (16 bits a register), band keys, size and bitmap of the shingle set of rows (id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 128):
-                batch = whole.slice(lo, 128)
-                flat = [normal(t) for t in batch.column(1).to_pylist()]
-                prints = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in flat]
-                runs_of = [shingles(x) for x in flat]
-                sig, sets = signatures(runs_of), [np.unique(s) for s in runs_of]
-                keys, low = band_keys(sig), sig.astype(np.uint16)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(prints, pa.binary()), pa.array([r.tobytes() if p else None for r, p in zip(low, prints)], pa.binary()), pa.array([list(k) if p else None for k, p in zip(keys, prints)], pa.list_(pa.int64())),
-                     pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) if p else None for s, p in zip(sets, prints)], pa.binary())],
-                    names=["id", "print", "sig", "bands", "size", "bits"],
-                )
-
-    return d.mapInArrow(run, "id bigint, print binary, sig binary, bands array<bigint>, size int, bits binary")
-
-
-def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), REGISTERS)
-
-
 def bitmap(shingle_set: np.ndarray) -> bytes:
     """BITS bits, those set that some shingle of the set falls on."""
     on = np.zeros(BITS, dtype=bool)
@@ -134,142 +118,190 @@ def bitmap(shingle_set: np.ndarray) -> bytes:
     return np.packbits(on).tobytes()
 
 
+def fingerprint(flat: bytes) -> bytes | None:
+    """A digest of the words, null without words."""
+    return hashlib.blake2b(flat, digest_size=16).digest() if flat else None
+
+
+def _sketched(d: DataFrame) -> DataFrame:
+    """id, own, print, bands (one set, or two where a shingle repeats), size and mass (sum of weights) of the shingles and
+    the bitmap of their set, of rows (id, own, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 2, rows=128):
+            flat = [normal(t) for t in batch.column(2).to_pylist()]
+            prints = [fingerprint(x) for x in flat]
+            sets = [np.unique(shingles(x), return_counts=True) for x in flat]
+            again = [i for i, (x, n) in enumerate(sets) if n.sum() > len(x)]
+            keys = [list(k) for k in band_keys(_signed(sets))]
+            if again:
+                plain = band_keys(_signed([(sets[i][0], np.ones_like(sets[i][1])) for i in again]))
+                for i, k in zip(again, plain):
+                    keys[i] = list(dict.fromkeys(keys[i] + list(k)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array([k if p else None for k, p in zip(keys, prints)], pa.list_(pa.int64())),
+                 pa.array([len(x) for x, _ in sets], pa.int32()), pa.array([float(_weights(n).sum()) for _, n in sets], pa.float64()), pa.array([bitmap(x) if p else None for (x, _), p in zip(sets, prints)], pa.binary())],
+                names=["id", "own", "print", "bands", "size", "mass", "bits"],
+            )
+
+    return d.mapInArrow(run, f"id {dict(d.dtypes)['id']}, own bigint, print binary, bands array<bigint>, size int, mass double, bits binary")
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) without those that are proven to be under SIMILARITY.
 
     Each bit that only one of two bitmaps has stands for a shingle at least that the other set lacks, which bounds the
-    number of common shingles from above, so no similar pair is left out.
+    number of common shingles from above; and what one text alone has is a fifth of its weight at most if the two are
+    similar by weight. So no similar pair is left out.
     """
-    a, b = (nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in "ab")
+    a, b = (nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("mass").alias(f"m{k}"), F.col("bits").alias(f"s{k}")) for k in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 m, n = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-                most = np.minimum(m - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-                yield batch.select([0, 1]).filter(pa.array(most >= SIMILARITY * (m + n - most)))
+                p, q = (batch.column(k).to_numpy() for k in (4, 5))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for k in (6, 7))
+                left, right = (np.bitwise_count(v).sum(axis=1, dtype=np.int64) for v in (x & ~y, y & ~x))
+                most, rest = np.minimum(m - left, n - right), (1 - SIMILARITY) * (1 + 1e-9)
+                weighed = ((p > m) | (q > n)) & (left <= rest * p) & (right <= rest * q)
+                yield batch.select([0, 1]).filter(pa.array((most >= SIMILARITY * (m + n - most)) | weighed))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ma", "mb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
+SETS = "node bigint, set binary, counts binary"
 
 
 def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, set): the sorted shingle hashes of the whole texts of the asked nodes."""
-    ids = nodes.join(asked, "node", "left_semi").select(F.col("id").alias("_i")).distinct()
-    texts = docs.join(ids, F.col("id").eqNullSafe(F.col("_i")), "left_semi")
+    """(node, set, counts): the sorted shingle hashes of the whole texts of the asked nodes, and how often each comes (empty: once each).
+
+    Only texts whose hash may be among the asked ones move.
+    """
+    rows = nodes.join(asked, "node", "left_semi").select("node", F.col("id").alias("_i"), F.col("own").alias("_o"))
+    may, _ = split_by(docs, F.col("own"), rows.select("_o"))
+    texts = may.join(rows, (F.col("own") == F.col("_o")) & F.col("id").eqNullSafe(F.col("_i"))).select("node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 128):
-                flat = [x for t in whole.slice(lo, 128).column(1).to_pylist() if (x := normal(t))]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in flat], pa.binary()), pa.array([np.unique(shingles(x)).tobytes() for x in flat], pa.binary())], names=["node", "set"])
+        for batch in parts(batches, 1, rows=128):
+            sets = [np.unique(shingles(normal(t)), return_counts=True) for t in batch.column(1).to_pylist()]
+            counts = [n.astype(np.uint32).tobytes() if n.sum() > len(n) else b"" for _, n in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x, _ in sets], pa.binary()), pa.array(counts, pa.binary())], names=["node", "set", "counts"])
+
+    return texts.mapInArrow(cut, SETS).dropDuplicates(["node"])
+
+
+def probability_jaccard(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> float:
+    """Of sorted distinct elements x, y with weights p, q: over common d, 1 / sum over e of max(p(e) / p(d), q(e) / q(d))."""
+    every = np.union1d(x, y)
+    a, b = np.zeros(len(every)), np.zeros(len(every))
+    a[np.searchsorted(every, x)], b[np.searchsorted(every, y)] = p, q
+    order = np.argsort(np.where(b > 0, a / np.where(b > 0, b, 1), np.inf), kind="stable")
+    a, b = a[order], b[order]  # by a / b: of an element, those before it count with b, it and those after it with a
+    before, after = np.cumsum(b) - b, np.cumsum(a[::-1])[::-1]
+    both = (a > 0) & (b > 0)
+    return float((1 / (after[both] / a[both] + before[both] / b[both])).sum())
 
-    return texts.select("id", "text").mapInArrow(cut, "node binary, set binary").dropDuplicates(["node"])
 
+def _read(elements: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    return np.frombuffer(elements, np.uint64), _weights(np.frombuffer(counts, np.uint32)) if counts else None
 
-def similar(x: bytes, y: bytes) -> bool:
-    """Whether two shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if min(len(p), len(q)) < SIMILARITY * max(len(p), len(q)):
+
+def similar(x: np.ndarray, p: np.ndarray | None, y: np.ndarray, q: np.ndarray | None) -> bool:
+    """Whether the sets x, y, or their weights p, q (None: one each), have a similarity of SIMILARITY or more."""
+    least = min(len(x), len(y))
+    both = len(np.intersect1d(x, y, assume_unique=True)) if least else 0
+    if 5 * both >= 4 * (len(x) + len(y) - both):
+        return least > 0
+    if (p is None and q is None) or not both:
         return False
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    return both >= SIMILARITY * (len(p) + len(q) - both)
+    p, q = (np.ones(len(e)) if w is None else w for e, w in ((x, p), (y, q)))
+    return probability_jaccard(x, p, y, q) >= SIMILARITY
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The similar ones of the pairs (a, b), by their shingle sets."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(asked, nodes, docs)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The similar ones of the pairs (a, b), by their shingles."""
+    of = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"s{k}"), F.col("counts").alias(f"c{k}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
+            keep = [similar(*_read(x.as_py(), n.as_py()), *_read(y.as_py(), m.as_py())) for x, n, y, m in zip(*(batch.column(k) for k in range(2, 6)))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compare, "a binary, b binary")
-
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(compare, "a bigint, b bigint")
 
-def _centres(large: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): each member of a large bucket (bucket, node, n) with its bucket's centre.
 
-    About 32 members by hash only choose what to compare with; every member is compared with their common registers.
-    """
-    own = large.join(nodes.select("node", "sig"), "node")
-    some = own.filter(F.pmod(F.xxhash64("node", "bucket"), F.col("n")) < 32).groupBy("bucket").agg(F.collect_list("sig").alias("sigs"))
+def _asked(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for sigs in batch.column(1).to_pylist():
-                m = np.sort(np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(len(sigs), REGISTERS), axis=0)
-                counts = (m[:, None, :] == m[None, :, :]).sum(axis=0)
-                out.append(m[counts.argmax(axis=0), np.arange(REGISTERS)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["bucket", "common"])
 
-    modes = some.mapInArrow(common, "bucket bigint, common binary")
-
-    def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                same = (_registers(batch.column(2)) == _registers(batch.column(3))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int32))], names=["bucket", "node", "same"])
+def _centres(large: DataFrame) -> DataFrame:
+    """(a, b): each member of a large bucket (bucket, node, n) with its bucket's centre, the one that shares most buckets.
 
-    score = own.join(modes, "bucket").select("bucket", "node", "sig", "common").mapInArrow(agreement, "bucket bigint, node binary, same int")
-    best = score.groupBy("bucket").agg(F.max(F.struct("same", "node")).alias("m")).select("bucket", F.col("m.node").alias("centre"))
+    Sums and largest values are formed inside tasks first, and the centres are stored before the rows meet them, so that
+    a large bucket is no task's own.
+    """
+    shares = large.groupBy("node").agg(F.sum("n").alias("shares"))
+    best = large.join(shares, "node").groupBy("bucket").agg(F.max(F.struct("shares", F.col("node").alias("centre"))).alias("m"))
+    best = stored(best.select("bucket", "m.centre"), "centres")
     return large.join(best, "bucket").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def _rest(large: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between members of large buckets that are still in different classes.
+def _rest(large: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links (a, b) between members of large buckets that are still in different classes; None if there are no such members.
 
-    Blocks of a bucket meet two at a time. A member's common shingles with all members of the other block are counted
-    through the sorted shingles of that block; a similar pair is a link unless one found before has joined its classes,
-    so a task gives a link a class at most.
+    Shingles are put in one order for all texts. Similar texts share a shingle in the first part of each, the part before
+    which lies a fifth of its shingles, or of their weight, at most. Shingles frequent in a sample come last, so these
+    parts are the rare ones. Members meet where they share such a shingle and are not of one class; those of the class
+    that has most of them there don't meet each other.
     """
     d = large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = d.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    d = stored(d.join(mixed, "bucket", "left_semi"), "mixed")
-    d = d.join(_sets(d.select("node").distinct(), nodes, docs), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    d = d.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    d = d.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "comp", "set")
-
-    def compare(table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        own, sets = np.array(t["own"]), [np.frombuffer(x, np.uint64) for x in t["set"]]
-        size = np.array([len(x) for x in sets], dtype=np.int64)
-        comp = np.unique(np.array([c.hex() for c in t["comp"]]), return_inverse=True)[1]
-        parent = list(range(len(own)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        left, right, a, b = np.flatnonzero(own == t["p"][0]), np.flatnonzero(own == t["q"][0]), [], []
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-        words, at = np.concatenate([sets[j] for j in right]), np.repeat(np.arange(len(right)), size[right])
-        order = np.argsort(words, kind="stable")
-        words, at = words[order], at[order]
-        for i in left:
-            other = comp[right] != comp[i]
-            if not other.any():
-                continue
-            lo = np.searchsorted(words, sets[i], side="left")
-            n = np.searchsorted(words, sets[i], side="right") - lo
-            both = np.bincount(at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(right))
-            for j in right[other & (both >= SIMILARITY * (size[i] + size[right] - both))]:
-                ci, cj = root(comp[i]), root(comp[j])
-                if ci != cj:
-                    parent[ci] = cj
-                    p, q = sorted((t["node"][i], t["node"][j]))
-                    a.append(p)
-                    b.append(q)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return d.groupBy("bucket", "p", "q").applyInArrow(compare, "a binary, b binary").distinct()
+    mixed = stored(d.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket"), "mixed")
+    members = stored(d.join(mixed, "bucket", "left_semi").select("node", "comp").distinct(), "members")
+    if not members.limit(1).count():
+        drop(mixed, members)
+        return None
+    sets = stored(members.join(_sets(members.select("node"), nodes, docs), "node"), "sets")
+    n = max(1, sets.count())
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]))], names=["e"])
+
+    some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(n)) < SAMPLE).select("set").mapInArrow(elements, "e bigint")
+    often = some.groupBy("e").agg(F.count("*").alias("k")).filter("k > 1").orderBy(F.desc("k"), "e").limit(FREQUENT).toArrow()
+    e, k = (np.array(often.column(c).to_pylist(), dtype=np.int64) for c in ("e", "k"))
+    order = np.argsort(e.view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast((e.view(np.uint64)[order], k[order]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        for batch in parts(batches, 2):
+            first, size = [], []
+            for x, c in zip(batch.column(2), batch.column(3)):
+                x, w = _read(x.as_py(), c.as_py())
+                at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+                often = np.where(known[at] == x, rank[at], 0) if len(known) else np.zeros(len(x))
+                by = np.lexsort((x, often))
+                before = np.arange(len(x)) <= (1 - SIMILARITY) * (1 + 1e-9) * len(x)
+                if w is not None:
+                    before |= np.cumsum(w[by]) - w[by] <= (1 - SIMILARITY) * (1 + 1e-9) * w.sum()
+                first.append(x[by][before].view(np.int64))
+                size.append(len(first[-1]))
+            take = np.repeat(np.arange(batch.num_rows), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take))], names=["e", "node", "comp"])
+
+    rows = stored(sets.select("node", "comp", "set", "counts").mapInArrow(prefixes, "e bigint, node bigint, comp bigint"), "prefixes")
+    by = rows.groupBy("e", "comp").agg(F.count("*").alias("n")).groupBy("e").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps"))
+    main = stored(by.filter("comps > 1").select("e", F.col("m.comp").alias("main")), "main")
+    met = rows.join(main, "e")
+    x = met.filter("comp <> main").select("e", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    y = met.select("e", F.col("node").alias("y"), F.col("comp").alias("cy"), "main")
+    pairs = x.join(y, "e").filter("cx <> cy AND (cy = main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    possible = stored(_possible(pairs, nodes), "rest-possible")
+    links = stored(_verified(possible, sets.select("node", "set", "counts")), "rest")
+    drop(mixed, members, sets, rows, main, possible)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -278,75 +310,85 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of taking the least label among neighbours and of following labels, each written to the shared folder; the
     number of rounds grows with the logarithm of the longest chain.
     """
-    spark = links.sparkSession
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("to"))
+        hooked = labels.select("node", "comp").join(near, "node").select("node", "comp", F.least("comp", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("on"))
         new = stored(hooked.join(jump, "to", "left").select("node", F.least("to", F.coalesce("on", "to")).alias("comp"), F.col("comp").alias("old")), "labels")
         moved = new.filter("comp <> old").limit(1).count()
-        labels = new.select("node", "comp")
+        drop(labels)
+        labels = new
         if not moved:
             return labels
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) per row; both as they came, so a null id stays null.
-
-    Texts with equal words form one class, whatever their case and punctuation; null texts and texts without words are
-    classes of their own. Classes are the connected components of verified links.
-    """
-    d = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    sketch = stored(_sketched(d), "sketch")
-    nodes = stored(sketch.filter("print IS NOT NULL").dropDuplicates(["print"]).select(F.col("print").alias("node"), "sig", "bands", "size", "bits", "id"), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = stored(rows.join(sizes, "bucket"), "buckets")
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows (id, own, text): the stored rows (id, own, print), and (print, first) with the least (id, own) of the print's class."""
+    sketch = stored(_sketched(docs), "sketch")
+    firsts = sketch.filter("print IS NOT NULL").dropDuplicates(["print"])
+    nodes = stored(firsts.select(F.monotonically_increasing_id().alias("node"), "print", "bands", "size", "mass", "bits", "id", "own"), "nodes")
+    rows = stored(sketch.select("id", "own", "print"), "rows")
+    drop(sketch)
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = stored(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    buckets = stored(banded.join(sizes, "bucket"), "buckets")
+    drop(sizes)
     small, large = buckets.filter(F.col("n") <= SMALL), buckets.filter(F.col("n") > SMALL)
     x, y = small.select("bucket", F.col("node").alias("a")), small.select("bucket", F.col("node").alias("b"))
     pairs = x.join(y, "bucket").filter("a < b").select("a", "b").distinct()
     if any_large := bool(large.limit(1).count()):
-        pairs = pairs.unionByName(_centres(large, nodes)).distinct()
+        pairs = pairs.unionByName(_centres(large)).distinct()
     possible = stored(_possible(pairs, nodes), "possible")
-    links = stored(_verified(possible, nodes, d), "links")
+    links = stored(_verified(possible, _sets(_asked(possible), nodes, docs)), "links")
+    drop(possible)
     comps = components(links)
-    if any_large:
-        rest = stored(_rest(large, nodes, comps, d), "rest")
+    if any_large and (rest := _rest(large, nodes, comps.select("node", "comp"), docs)) is not None:
         if rest.limit(1).count():
-            comps = components(links.unionByName(rest))
-    firsts = sketch.filter("print IS NOT NULL").groupBy(F.col("print").alias("node")).agg(F.min("id").alias("first"))
-    named = firsts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    by_comp = named.groupBy("comp").agg(F.min("first").alias("class_id"))
-    named = named.join(by_comp, "comp").select(F.col("node").alias("print"), "class_id")
-    with_words = sketch.filter("print IS NOT NULL").select("id", "print").join(named, "print").select(F.col("id").alias("doc_id"), "class_id")
-    return with_words.unionByName(sketch.filter("print IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))
+            old, comps = comps, components(links.unionByName(rest))
+            drop(old)
+        drop(rest)
+    of = stored(nodes.select("node", "print").join(comps.select("node", "comp"), "node", "left").select("print", F.coalesce("comp", "node").alias("comp")), "of")
+    drop(nodes, buckets, links, comps)
+    least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "own")).alias("first")
+    by_print = rows.filter("print IS NOT NULL").groupBy("print").agg(least).join(of, "print")
+    by_comp = by_print.groupBy("comp").agg(F.min("first").alias("first"))
+    named = stored(of.join(by_comp, "comp").select("print", "first.id", "first.own"), "named")
+    drop(of)
+    return rows, named.select("print", F.struct("id", "own").alias("first"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, that of the least doc_id, with the columns it came with.
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, own, text); own is a hash of the text as it is."""
+    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("own"), F.col(f"`{text}`").alias("text"))
+
 
-    Rows that share this id and their words count once; rows of one id with different words all stay if their id is
-    the least of a class. Rows without words stay as they are.
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and class_id (the least doc_id of the class) per row; both as they came, so a null id stays null.
+
+    Texts with equal words form one class, whatever their case and punctuation; null texts and texts without words are
+    classes of their own. Classes are the connected components of verified links.
     """
-    rows = stored(classes(docs, doc_id, text), "classes")
-    firsts = rows.filter("doc_id <=> class_id").select(F.col("doc_id").alias("_first")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = docs.select(row, F.col(f"`{doc_id}`").cast("bigint").alias("_id"), F.col(f"`{text}`").alias("_t")).join(firsts, F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
-    repeated = rows.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").select("_again")
-    if not repeated.limit(1).count():
-        return kept.select("row.*")
+    rows, named = _classified(_rows(docs, doc_id, text))
+    with_words = rows.join(named, "print").select(F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"))
+    return with_words.unionByName(rows.filter("print IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))
 
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = [normal(t) for t in batch.column(2).to_pylist()]
-            prints = [hashlib.blake2b(x, digest_size=16).digest() if x else uuid.uuid4().bytes for x in flat]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=["row", "_id", "_t", "_p"])
 
-    from pyspark.sql.types import StructType
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, that of the least doc_id (null last; ties: by a hash of the text), with the columns it came with.
 
-    same = F.col("_id").eqNullSafe(F.col("_again"))
-    again = kept.join(repeated, same, "left_semi")
-    once = again.mapInArrow(printed, StructType(again.schema.fields + StructType.fromDDL("_p binary").fields)).dropDuplicates(["_id", "_p"])
-    return kept.join(repeated, same, "left_anti").select("row.*").unionByName(once.select("row.*"))
+    Rows that share this id and this text count once. Rows without words stay as they are. Only texts of rows that may go
+    or may be repeated move.
+    """
+    rows, named = _classified(_rows(docs, doc_id, text))
+    own = rows.filter("print IS NOT NULL").groupBy("id", "own", "print").agg(F.count("*").alias("n")).join(named, "print")
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("own") == F.col("first.own"))
+    special = stored(own.select(F.col("id").alias("_i"), F.col("own").alias("_o"), first.alias("stays"), "n").filter("NOT stays OR n > 1"), "special")
+    key = lambda i, o: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("")), F.col(o))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("own"))
+    may, sure = split_by(d, key("id", "own"), special.select(key("_i", "_o").alias("k")))
+    asked = may.join(special, (F.col("own") == F.col("_o")) & F.col("id").eqNullSafe(F.col("_i")), "left")
+    once = asked.filter("stays").select("row", "id", "own").dropDuplicates(["id", "own"])
+    return sure.select("row.*").unionByName(asked.filter("stays IS NULL").select("row.*")).unionByName(once.select("row.*"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, langid, lm, near_dup, pii, quality, secrets, toxicity, warc
-from .util import bounded_batches, id_remainder, table
+from .util import id_remainder, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,20 +24,17 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    bounded_batches(spark)
     d = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ids = F.sha2(F.array_join("ids", " ").cast("binary"), 256)
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     d = near_dup.classes(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     d = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hit_words").cast("long")
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -45,7 +42,6 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     d = pii.scan(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("base_spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
@@ -53,7 +49,6 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder("doc_id", 4) == 2
     profiles = langid.train(docs.filter(~held_out))
@@ -61,7 +56,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder("doc_id", 5) == 0
     classifier = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -69,7 +63,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder("doc_id", 5) == 1
     model = lm.train(docs.filter(~held_out))
@@ -77,7 +70,6 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     index, root = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
