@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import bpe, decontaminate, near_dup, pii, quality
-from tidegraph.llm.util import bounded_batches, stored, table
+from tidegraph.llm.util import drop, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,19 +16,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document of the least doc_id stays."""
-    bounded_batches(spark)
     return near_dup.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    bounded_batches(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in their texts is masked and n_chars counted again."""
-    bounded_batches(spark)
     return pii.redact(docs)
 
 
@@ -36,7 +33,6 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and lang with the ids of the text, their number, and whether they decode to the text's bytes."""
     import public_tokenizers
 
-    bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     d = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
     same = F.col("bytes").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))
@@ -56,8 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again; a table goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
