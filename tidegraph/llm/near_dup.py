@@ -12,8 +12,8 @@ Equal texts collapse first. Registers are banded; documents of a band's bucket a
 * a bucket of up to SMALL documents gives its pairs, so a row meets SMALL others at most;
 * a larger one gives each member's pair with the bucket's centre, the member that shares most buckets with others, so a
   large group of true copies costs one pair a member and is linked through its centre;
-* members of large buckets that these links leave in different classes are joined on the rarest shingles that one of two
-  similar texts must share with the other (prefix filter). No bucket is dropped, and no link between classes is lost.
+* members of large buckets that these links leave in different classes are joined on shingles that two similar texts must
+  share (prefix filter, those rare in the group first). No bucket is dropped, and no link between classes is lost.
 Every candidate is verified on whole texts but those that sizes and bitmaps of the shingle sets prove to be unlike.
 """
 
@@ -36,7 +36,7 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BITS = 2048
 SMALL = 12
-SAMPLE, FREQUENT = 4096, 100_000  # texts and shingles that choose the order in which prefixes are cut, and nothing else
+SAMPLE = 32  # members of a centre, about, that choose the order of its shingles, and nothing else
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -151,8 +151,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) without those that are proven to be under SIMILARITY.
 
     Each bit that only one of two bitmaps has stands for a shingle at least that the other set lacks, which bounds the
-    number of common shingles from above; and what one text alone has is a fifth of its weight at most if the two are
-    similar by weight. So no similar pair is left out.
+    number of common shingles from above; and if shares u and v of two texts' weights are not common, their probability
+    Jaccard similarity is (1 - u)(1 - v) / (1 - uv) at most. So no similar pair is left out.
     """
     a, b = (nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("mass").alias(f"m{k}"), F.col("bits").alias(f"s{k}")) for k in "ab")
 
@@ -163,8 +163,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 p, q = (batch.column(k).to_numpy() for k in (4, 5))
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for k in (6, 7))
                 left, right = (np.bitwise_count(v).sum(axis=1, dtype=np.int64) for v in (x & ~y, y & ~x))
-                most, rest = np.minimum(m - left, n - right), (1 - SIMILARITY) * (1 + 1e-9)
-                weighed = ((p > m) | (q > n)) & (left <= rest * p) & (right <= rest * q)
+                most, u, v = np.minimum(m - left, n - right), np.minimum(1, left / p), np.minimum(1, right / q)
+                weighed = ((p > m) | (q > n)) & ((1 - u) * (1 - v) >= SIMILARITY * (1 - u * v) - 1e-9)
                 yield batch.select([0, 1]).filter(pa.array((most >= SIMILARITY * (m + n - most)) | weighed))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ma", "mb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
@@ -236,71 +236,88 @@ def _asked(pairs: DataFrame) -> DataFrame:
 
 
 def _centres(large: DataFrame) -> DataFrame:
-    """(a, b): each member of a large bucket (bucket, node, n) with its bucket's centre, the one that shares most buckets.
+    """(bucket, centre), stored: of each large bucket (bucket, node, n) the member that shares most buckets with others.
 
     Sums and largest values are formed inside tasks first, and the centres are stored before the rows meet them, so that
     a large bucket is no task's own.
     """
     shares = large.groupBy("node").agg(F.sum("n").alias("shares"))
     best = large.join(shares, "node").groupBy("bucket").agg(F.max(F.struct("shares", F.col("node").alias("centre"))).alias("m"))
-    best = stored(best.select("bucket", "m.centre"), "centres")
-    return large.join(best, "bucket").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    return stored(best.select("bucket", "m.centre"), "centres")
 
 
-def _rest(large: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame | None:
+def _frequent(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(centre, elements, times), stored: the shingles that some of a centre's members, about SAMPLE, have in common."""
+    n = members.groupBy("centre").agg(F.count("*").alias("n"))
+    some = members.join(n, "centre").filter(F.pmod(F.xxhash64("node", "centre"), F.col("n")) < SAMPLE).select("centre", "node")
+    own = some.unionByName(members.select("centre", F.col("centre").alias("node")).distinct()).join(sets.select("node", "set"), "node").select("centre", "set")
+
+    def count(table: pa.Table) -> pa.Table:
+        e, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]), return_counts=True)
+        e, n = e[n > 1], n[n > 1].astype(np.int64)
+        return pa.table({"centre": table.column("centre").slice(0, 1), "elements": pa.array([e.tobytes()], pa.binary()), "times": pa.array([n.tobytes()], pa.binary())})
+
+    return stored(own.groupBy("centre").applyInArrow(count, "centre bigint, elements binary, times binary"), "frequent")
+
+
+def _prefixes(d: DataFrame) -> DataFrame:
+    """The first part of each member's shingles, of rows (centre, node, comp, set, counts, elements, times).
+
+    In the order of one centre shingles come by their times among its sampled members, the rarest first, and by hash. Of
+    two similar texts, what comes before their first common shingle is a fifth of the shingles of each, or of the weight,
+    at most. u and w are the shares of shingles and of weight that come before a row's shingle e.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 3):
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            for x, c, o, n in zip(*(batch.column(k) for k in (3, 4, 5, 6))):
+                (x, w), o, n = _read(x.as_py(), c.as_py()), np.frombuffer(o.as_py(), np.uint64), np.frombuffer(n.as_py(), np.int64)
+                at = np.minimum(np.searchsorted(o, x), max(0, len(o) - 1))
+                by = np.argsort(np.where(o[at] == x, n[at], 0) if len(o) else np.zeros(len(x)), kind="stable")
+                u = np.arange(len(x)) / len(x)
+                v = u if w is None else (np.cumsum(w[by]) - w[by]) / w.sum()
+                first = np.minimum(u, v) <= 1 - SIMILARITY + 1e-9
+                for col, values in zip(cols, (x[by].view(np.int64), u, v, np.full(len(x), w is not None))):
+                    col.append(values[first])
+            take = pa.array(np.repeat(np.arange(batch.num_rows), [len(e) for e in cols[0]]))
+            size = pa.array(np.repeat([len(x.as_py()) // 8 for x in batch.column(3)], [len(e) for e in cols[0]]), pa.int32())
+            e, u, v, again = (pa.array(np.concatenate(c)) for c in cols)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), e, size, u, v, again], names=["centre", "node", "comp", "e", "size", "u", "w", "again"])
+
+    return d.mapInArrow(run, "centre bigint, node bigint, comp bigint, e bigint, size int, u double, w double, again boolean")
+
+
+def _rest(large: DataFrame, centres: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Links (a, b) between members of large buckets that are still in different classes; None if there are no such members.
 
-    Shingles are put in one order for all texts. Similar texts share a shingle in the first part of each, the part before
-    which lies a fifth of its shingles, or of their weight, at most. Shingles frequent in a sample come last, so these
-    parts are the rare ones. Members meet where they share such a shingle and are not of one class; those of the class
-    that has most of them there don't meet each other.
+    Members of one centre meet where their prefixes share a shingle, if what comes before it lets them be similar and they
+    are not of one class; those of the class that has most members there don't meet each other. Texts that stand off their
+    group have more before its common shingles than that, so they don't meet the group, but only what shares their own.
     """
     d = large.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = stored(d.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket"), "mixed")
-    members = stored(d.join(mixed, "bucket", "left_semi").select("node", "comp").distinct(), "members")
+    members = stored(d.join(mixed, "bucket", "left_semi").join(centres, "bucket").select("centre", "node", "comp").distinct(), "members")
     if not members.limit(1).count():
         drop(mixed, members)
         return None
-    sets = stored(members.join(_sets(members.select("node"), nodes, docs), "node"), "sets")
-    n = max(1, sets.count())
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]))], names=["e"])
-
-    some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(n)) < SAMPLE).select("set").mapInArrow(elements, "e bigint")
-    often = some.groupBy("e").agg(F.count("*").alias("k")).filter("k > 1").orderBy(F.desc("k"), "e").limit(FREQUENT).toArrow()
-    e, k = (np.array(often.column(c).to_pylist(), dtype=np.int64) for c in ("e", "k"))
-    order = np.argsort(e.view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast((e.view(np.uint64)[order], k[order]))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
-        for batch in parts(batches, 2):
-            first, size = [], []
-            for x, c in zip(batch.column(2), batch.column(3)):
-                x, w = _read(x.as_py(), c.as_py())
-                at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
-                often = np.where(known[at] == x, rank[at], 0) if len(known) else np.zeros(len(x))
-                by = np.lexsort((x, often))
-                before = np.arange(len(x)) <= (1 - SIMILARITY) * (1 + 1e-9) * len(x)
-                if w is not None:
-                    before |= np.cumsum(w[by]) - w[by] <= (1 - SIMILARITY) * (1 + 1e-9) * w.sum()
-                first.append(x[by][before].view(np.int64))
-                size.append(len(first[-1]))
-            take = np.repeat(np.arange(batch.num_rows), size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take))], names=["e", "node", "comp"])
-
-    rows = stored(sets.select("node", "comp", "set", "counts").mapInArrow(prefixes, "e bigint, node bigint, comp bigint"), "prefixes")
-    by = rows.groupBy("e", "comp").agg(F.count("*").alias("n")).groupBy("e").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps"))
-    main = stored(by.filter("comps > 1").select("e", F.col("m.comp").alias("main")), "main")
-    met = rows.join(main, "e")
-    x = met.filter("comp <> main").select("e", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    y = met.select("e", F.col("node").alias("y"), F.col("comp").alias("cy"), "main")
-    pairs = x.join(y, "e").filter("cx <> cy AND (cy = main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    asked = members.select("node").unionByName(members.select(F.col("centre").alias("node"))).distinct()
+    sets = stored(_sets(asked, nodes, docs), "sets")
+    frequent = _frequent(members, sets)
+    own = members.join(sets, "node").join(frequent, "centre").select("centre", "node", "comp", "set", "counts", "elements", "times")
+    rows = stored(_prefixes(own), "prefixes")
+    by = rows.groupBy("centre", "e", "comp").agg(F.count("*").alias("n")).groupBy("centre", "e").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps"))
+    main = stored(by.filter("comps > 1").select("centre", "e", F.col("m.comp").alias("main")), "main")
+    met = stored(rows.join(main, ["centre", "e"]), "met")
+    x, y = (met.select("centre", "e", "main", *[F.col(c).alias(f"{c}{k}") for c in ("node", "comp", "size", "u", "w", "again")]) for k in "xy")
+    common = "least(sizex * (1 - ux), sizey * (1 - uy))"
+    by_set = f"5 * {common} >= 4 * (sizex + sizey - {common}) - 1e-6"
+    by_weight = f"(againx OR againy) AND (1 - wx) * (1 - wy) >= {SIMILARITY} * (1 - wx * wy) - 1e-9"
+    pairs = x.filter("compx <> main").join(y.drop("main"), ["centre", "e"]).filter(f"compx <> compy AND (compy = main OR nodex < nodey) AND ({by_set} OR {by_weight})")
+    pairs = pairs.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
     possible = stored(_possible(pairs, nodes), "rest-possible")
-    links = stored(_verified(possible, sets.select("node", "set", "counts")), "rest")
-    drop(mixed, members, sets, rows, main, possible)
+    links = stored(_verified(possible, sets), "rest")
+    drop(mixed, members, sets, frequent, rows, main, met, possible)
     return links
 
 
@@ -339,12 +356,14 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     x, y = small.select("bucket", F.col("node").alias("a")), small.select("bucket", F.col("node").alias("b"))
     pairs = x.join(y, "bucket").filter("a < b").select("a", "b").distinct()
     if any_large := bool(large.limit(1).count()):
-        pairs = pairs.unionByName(_centres(large)).distinct()
+        centres = _centres(large)
+        star = large.join(centres, "bucket").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        pairs = pairs.unionByName(star).distinct()
     possible = stored(_possible(pairs, nodes), "possible")
     links = stored(_verified(possible, _sets(_asked(possible), nodes, docs)), "links")
     drop(possible)
     comps = components(links)
-    if any_large and (rest := _rest(large, nodes, comps.select("node", "comp"), docs)) is not None:
+    if any_large and (rest := _rest(large, centres, nodes, comps.select("node", "comp"), docs)) is not None:
         if rest.limit(1).count():
             old, comps = comps, components(links.unionByName(rest))
             drop(old)
