@@ -34,8 +34,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    d = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
-    same = F.col("bytes").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))
+    d = bpe.round_trip(docs.withColumn("bytes_in", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), path, keep=["lang", "source", "bytes_in"])
+    same = F.sha2("bytes", 256).eqNullSafe(F.col("bytes_in"))
     return d.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 
 
