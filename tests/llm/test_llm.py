@@ -74,6 +74,15 @@ def test_secrets(spark, awkward, empty):
         spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
         assert got[i].base == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)), t
     linked = [got[len(texts) - k].n_linked for k in (5, 4, 3, 2)]
+    for r in secrets.scan(d, reach=None).collect():  # linked ones by trying all pairs inside each scope
+        t, at, want = texts[r.doc_id] or "", 0, []
+        for scope in re.split(f"({secrets.SCOPE_BREAK})", t):
+            if not re.fullmatch(secrets.SCOPE_BREAK, scope):
+                cut = lambda p: [m.span() for m in re.compile(p, re.A).finditer(scope)]  # noqa: B023, E731
+                found = cut(f"{secrets.IDENTIFIER}|{secrets.ENDPOINT}")
+                want += [(at + a, at + b) for a, b in cut(f"{secrets.WEAK_ASSIGN}|{secrets.WEAK_KEY}") if any(c >= b or e <= a for c, e in found)]
+            at += len(scope)
+        assert sorted((s.start, s.end) for s in r.spans if s.k == 3) == want, t
     assert linked == [1, 0, 0, 0]  # beside an identifier; across a blank line; alone; out of reach
     assert secrets.scan(awkward).count() == len(AWKWARD) and secrets.scan(empty).count() == 0
 
@@ -279,8 +288,8 @@ def test_decontamination(spark, awkward, empty):
     texts = {i: " ".join(word() for _ in range(rng.randint(0, 40))) + (" . " + (rng.choice(items)[1] or "")).lower() + " " + word() for i in range(60)}
     find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
     d, b = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for chars in (1_000_000, 60):  # one block, several
-        got = {r.doc_id: r for r in decontaminate.contamination(d, b, block_chars=chars).collect()}
+    for block in (100_000, 25):  # one block, several
+        got = {r.doc_id: r for r in decontaminate.contamination(d, b, block_windows=block).collect()}
         for i, t in texts.items():
             w, hit, own = find(t), set(), set()
             for k, x in items:
@@ -293,8 +302,7 @@ def test_decontamination(spark, awkward, empty):
                             own.add(str(k))
             assert (got[i].n_words, set(got[i].hit_words), got[i].items) == (len(w), hit, sorted(own))
             inside = "".join(t[s.start : s.end] + " " for s in got[i].spans)
-            if chars > 100:
-                assert find(inside) == [w[j] for j in sorted(hit)]
+            assert find(inside) == [w[j] for j in sorted(hit)]
     assert decontaminate.keep_clean(awkward, b).columns == awkward.columns
     assert decontaminate.contamination(empty, b).count() == 0
     assert decontaminate.contamination(d, b.limit(0)).filter(F.size("hit_words") > 0).count() == 0
@@ -302,7 +310,7 @@ def test_decontamination(spark, awkward, empty):
 
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(len(p := q.lstrip("0")) <= 3 and int(p or 0) <= 255 for q in m[0].split("."))]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(d)]
     out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     return sorted(out)
@@ -314,6 +322,8 @@ def test_personal_data(spark, awkward, empty):
         t = "".join(rng.choice("ab@@..1234567890 +-()55%_") for _ in range(rng.randint(0, 50)))
         base, every = pii.find(t, model)
         assert base == brute_pii(t) and set(base) <= set(every)
+    long = "x " + "0" * 5000 + ".1.1.1 " + "9" * 5000 + ".1.1.1 +" + "1" * 5000 + " @" + "a" * 5000
+    assert pii.find(long, model)[0] == brute_pii(long) == [(2, 1, 5008)]
     right = wrong = missed = 0
     rng = random.Random(99)  # sentences that training did not see
     for _ in range(200):
@@ -327,6 +337,36 @@ def test_personal_data(spark, awkward, empty):
     assert d.filter("n_chars <> length(text)").count() == 0
 
 
+def test_semi_markov_dynamics_against_every_segmentation():
+    """The best segmentation and the expected features, by trying all sets of segments that don't overlap."""
+    model, rng = pii.trained(), random.Random(12)
+    weak = pii.Model({f: w / 4 for f, w in model.weights.items()})  # scores that leave more than one segmentation likely
+    done = 0
+    while done < 30:
+        text, truth = pii._sentence(rng)
+        for low, high in pii.regions(text):
+            marks, segs = pii.segments(text, low, high)
+            if not 0 < len(segs) <= 14:
+                continue
+            done += 1
+            for m in (model, weak):
+                score = [m.score(f) for *_, f in segs]
+                subsets = ([k for k in range(len(segs)) if bits >> k & 1] for bits in range(1 << len(segs)))
+                every = [c for c in subsets if all(segs[a][1] <= segs[b][0] or segs[b][1] <= segs[a][0] for a in c for b in c if a < b)]
+                total = [sum(score[k] for k in c) for c in every]
+                got = m.best(text, low, high)
+                by_place = {(marks[i], marks[j], kind): s for (i, j, kind, _), s in zip(segs, score)}
+                assert sum(by_place[x] for x in got) == pytest.approx(max(total))
+                z = sum(map(math.exp, total))
+                want = Counter()
+                for k, (i, j, kind, feats) in enumerate(segs):
+                    p = sum(math.exp(t) for c, t in zip(every, total) if k in c) / z
+                    for f in feats:
+                        want[f] += ((marks[i], marks[j], kind) in truth) - p
+                grad = m.gradient(text, truth, low, high)
+                assert all(grad.get(f, 0.0) == pytest.approx(v, abs=1e-4) for f, v in want.items())
+
+
 def test_language(spark, awkward, empty):
     rng = random.Random(4)
     parts = {"en": "the of and ing th er", "fr": "le la eau ou tion é", "de": "der sch und ch ei ß"}
@@ -344,6 +384,15 @@ def test_language(spark, awkward, empty):
     pack = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
     for g, n in brute.items():
         assert [int(x) for x in profiles[g]] == [pack(x) for x, _ in sorted(n.items(), key=lambda kv: (-kv[1], pack(kv[0])))[: langid.PROFILE]]
+    for r in langid.predict(d.filter("doc_id % 7 = 0"), profiles, keep=[F.col("text")]).collect():  # a plain out-of-place loop
+        own = Counter(langid.grams(r.text).tolist())
+        mine = [x for x, _ in sorted(own.items(), key=lambda kv: (-kv[1], kv[0]))[: langid.PROFILE]]
+        far = {}
+        for lang, profile in profiles.items():
+            ranks = {int(x): i for i, x in enumerate(profile)}
+            far[lang] = sum(min(abs(ranks[x] - i), langid.PROFILE) if x in ranks else langid.PROFILE for i, x in enumerate(mine)) / (langid.PROFILE * len(mine))
+        best, second = sorted(far.values())[:2]
+        assert r.lang_pred == min(sorted(far), key=far.get) and r.score == pytest.approx(second / (second + best))
     odd = {(r.doc_id, r.lang_pred) for r in langid.predict(awkward, profiles).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (4, "und")} <= odd
     assert langid.train(empty) == {} and langid.predict(d.limit(3), {}).filter("lang_pred <> 'und'").count() == 0
@@ -370,6 +419,61 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.score(d.limit(2), none).count() == 2
 
 
+def test_label_model_against_plain_loops():
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        bad = rng.random() < 0.3
+        v = [2 if rng.random() < (p if bad else q) else 0 for p, q in ((0.8, 0.05), (0.6, 0.1), (0.5, 0.02))]
+        rows.append((*v, v[0], 1 if not any(v) else 0))  # the fourth voter repeats the first
+    counts = Counter(rows)
+    patterns, n = np.array(list(counts)), np.array(list(counts.values()), dtype=float)
+    model = toxicity.LabelModel(patterns, n, rounds=40)
+    q = []
+    for p in counts:
+        s = sum(x == 2 for x in p) - sum(x == 1 for x in p)
+        q.append(0.9 if s > 0 else 0.05 if s < 0 else 0.2)
+    share, total, k = [1.0] * 5, sum(counts.values()), 5
+    for step in range(40):
+        w = [c / total for c in counts.values()]
+        prior = min(max(sum(a * b for a, b in zip(w, q)), 0.01), 0.6)
+        votes = []
+        for weight in ([a * (1 - b) for a, b in zip(w, q)], [a * b for a, b in zip(w, q)]):
+            table = []
+            for voter in range(k):
+                mass = [1e-3 + sum(x for x, p in zip(weight, counts) if p[voter] == v) for v in range(3)]
+                table.append([math.log(x / sum(mass)) for x in mass])
+            votes.append(table)
+        if step == 20:
+            sign = [[(v == 2) - (v == 1) for v in p] for p in counts]
+            mean = [[sum(a * c * s[j] for a, c, s in zip(w, cs, sign)) / sum(a * c for a, c in zip(w, cs)) for j in range(k)] for cs in ([1 - x for x in q], q)]
+            left = [[s[j] - (1 - x) * mean[0][j] - x * mean[1][j] for j in range(k)] for s, x in zip(sign, q)]
+            cov = [[sum(a * r[i] * r[j] for a, r in zip(w, left)) for j in range(k)] for i in range(k)]
+            corr = [[cov[i][j] / math.sqrt(cov[i][i] * cov[j][j]) for j in range(k)] for i in range(k)]
+            share = [1 / max(1.0, sum(min(max(c, 0.0), 1.0) for c in row)) for row in corr]
+        q = []
+        for p in counts:
+            clean, toxic = (math.log(x) + sum(share[j] * t[j][v] for j, v in enumerate(p)) for x, t in ((1 - prior, votes[0]), (prior, votes[1])))
+            q.append(1 / (1 + math.exp(clean - toxic)))
+    assert model.posterior(patterns) == pytest.approx(q, abs=1e-6) and model.share == pytest.approx(share, abs=1e-6)
+    assert model.share[0] < 0.6 and model.share[1] > model.share[0]
+
+
+def test_toxicity_samples_and_counts(spark):
+    """The sample is bounded whatever is frequent; lexicon counts take each labelled text once, whatever its copies."""
+    rows = [(i, "the same hot text of all" if i % 3 else f"text number {i} zorgl" + "abcdefghij"[i % 10] * 3, i % 2) for i in range(300)] + [(None, None, 1), (7, "twice the same row", 1), (7, "twice the same row", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    once = toxicity._distinct_rows(toxicity._rows(d, "doc_id", "text", F.lit(True)), None)
+    assert once.count() == 103
+    sample = toxicity._sampled(toxicity._rows(d, "doc_id", "text", F.lit(True)), 40).collect()
+    assert len(sample) == 40 and len({r.text for r in sample}) == 40
+    labels = d.filter("doc_id IS NOT NULL AND doc_id <> 7").select("doc_id", "toxic")
+    seen = toxicity._distinct_rows(toxicity._rows(d, "doc_id", "text", F.lit(True)), labels).collect()
+    want = {t for i, t, y in rows if i is not None and i != 7}
+    assert sorted(r.text for r in seen) == sorted(want)
+    assert toxicity.train(d, labels.limit(0), F.lit(True)).lexicon.words == {}
+
+
 def test_language_model(spark, awkward, empty):
     rng = random.Random(8)
     docs = {i: " ".join(rng.choice("a b c dd E ff the The of q1".split()) if rng.random() < 0.7 else f"w{rng.randint(0, 400)}" for _ in range(rng.randint(0, 60))) for i in range(120)}

@@ -1,24 +1,25 @@
 """Benchmark decontamination with an Aho-Corasick automaton over normalised item windows.
 
-Each text is normalised and scanned once for a block of benchmark items; hits are mapped back to the original's code
-points. The benchmark is a stated query set: it is cut into blocks of bounded text, one automaton each, broadcast to
-the workers. A usual benchmark is one block; more blocks are further passes of the same rows, without a shuffle.
+Each text is normalised and scanned once for a block of windows, as a sequence of words; hits are mapped back to the
+original's code points. The benchmark is a stated query set: its distinct windows are dealt into blocks of bounded number,
+one automaton each, broadcast to the workers. A usual benchmark is one block; more blocks are further passes of the same
+rows, without a shuffle, which hand on the words hit so far; the last one turns them into spans.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import drop, parts, stored
+
 WINDOW = 10
-BLOCK_CHARS = 1_000_000
+BLOCK_WINDOWS = 100_000  # windows of one automaton, each of `size` nodes at most
 
 # A-Z to a-z; other ASCII that is neither letter nor digit to a space; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -30,37 +31,32 @@ def words(text: str | None) -> list[str]:
 
 
 def windows(item: list[str], size: int = WINDOW) -> list[str]:
-    """The item's windows as text, each word between single spaces; a shorter item is one window."""
-    return [f" {' '.join(item[i : i + size])} " for i in range(max(1, len(item) - size + 1))] if item else []
+    """The item's windows as text, words between single spaces; a shorter item is one window."""
+    return [" ".join(item[i : i + size]) for i in range(max(1, len(item) - size + 1))] if item else []
 
 
-def automaton(items: list[tuple[str, str]], size: int = WINDOW):
-    """One automaton over the windows of (item id, text) pairs; each window carries its words' number and its items."""
+def automaton(owned: list[tuple[str, list[str]]]) -> tuple[dict[str, int], object]:
+    """Word numbers, and one automaton over the windows as sequences of them; each carries its length and its items."""
     import ahocorasick
 
-    owners: dict[str, set[str]] = {}
-    for item_id, text in items:
-        for w in windows(words(text), size):
-            owners.setdefault(w, set()).add(item_id)
-    a = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        a.add_word(w, (w.count(" ") - 1, tuple(sorted(ids))))
+    numbers: dict[str, int] = {}
+    a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for window, ids in owned:
+        key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in window.split(" "))
+        a.add_word(key, (len(key), tuple(ids)))
     a.make_automaton()
-    return a
+    return numbers, a
 
 
-def hits(found: list[str], auto) -> tuple[list[int], list[str]]:
-    """The indexes of hit words and the items with an occurring window."""
-    if not found or not len(auto):
-        return [], []
-    ends, hit, items = None, set(), set()
-    for at, (n, ids) in auto.iter(f" {' '.join(found)} "):
-        if ends is None:
-            ends = list(accumulate(len(w) + 1 for w in found))  # where the space after each word is
-        last = bisect_left(ends, at)
-        hit.update(range(last - n + 1, last + 1))
-        items.update(ids)
-    return sorted(hit), sorted(items)
+def hits(found: list[str], numbers: dict[str, int], auto) -> tuple[set[int], set[str]]:
+    """The indexes of hit words and the items with an occurring window; words of no window are number 0."""
+    hit: set[int] = set()
+    items: set[str] = set()
+    if numbers:
+        for last, (n, ids) in auto.iter(tuple([numbers.get(w, 0) for w in found])):
+            hit.update(range(last - n + 1, last + 1))
+            items.update(ids)
+    return hit, items
 
 
 def word_spans(text: str, hit: list[int]) -> list[dict[str, int]]:
@@ -78,68 +74,76 @@ def word_spans(text: str, hit: list[int]) -> list[dict[str, int]]:
 _autos: dict[str, object] = {}
 
 
-def _auto(items, key: str, size: int):
+def _auto(owned, key: str):
+    """One automaton a worker, kept over tasks until another one is asked for."""
     if key not in _autos:
-        if len(_autos) > 1:
-            _autos.clear()
-        _autos[key] = automaton(items.value, size)
+        _autos.clear()
+        _autos[key] = automaton(owned.value)
     return _autos[key]
 
 
-def _pass(d: DataFrame, block: list[tuple[str, str]], size: int) -> DataFrame:
+def _pass(d: DataFrame, block: list[tuple[str, list[str]]], last: bool) -> DataFrame:
+    """Rows (row, _t) or (row, _t, _hit, _items), scanned for one block; the last one adds _n and _spans."""
     shared, key = d.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-    at = d.columns.index("_t")
-    own = [f.name for f in d.schema.fields]
+    before, whole = "_hit" in d.columns, d.select("row", "_t").schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _auto(shared, key, size)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                n, hit, items, spans = [], [], [], []
-                for t in batch.column(at).to_pylist():
-                    found = words(t)
-                    h, i = hits(found, auto)
-                    n.append(len(found))
-                    hit.append(h)
-                    items.append(i)
-                    spans.append(word_spans(t, h) if h else [])
-                cols = {c: batch.column(k) for k, c in enumerate(own)}
-                new = {"_n": pa.array(n, pa.int64()), "_hit": pa.array(hit, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string())), "_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
-                yield pa.RecordBatch.from_pydict(cols | new)
+        numbers, auto = _auto(shared, key)
+        for batch in parts(batches, 1):
+            n, hit, items, spans = [], [], [], []
+            old = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if before else [((), ())] * batch.num_rows
+            for t, (was_hit, had) in zip(batch.column(1).to_pylist(), old):
+                found = words(t)
+                h, i = hits(found, numbers, auto)
+                hit.append(sorted(h.union(was_hit)))
+                items.append(sorted(i.union(had)))
+                n.append(len(found))
+                spans.append(word_spans(t, hit[-1]) if last and hit[-1] else [])
+            cols = {"row": batch.column(0), "_t": batch.column(1), "_hit": pa.array(hit, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string()))}
+            if last:
+                cols |= {"_n": pa.array(n, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+            yield pa.RecordBatch.from_pydict(cols)
 
     from pyspark.sql.types import StructType
 
-    more = StructType.fromDDL("_n bigint, _hit array<int>, _items array<string>, _spans array<struct<start: int, end: int>>")
-    return d.mapInArrow(run, StructType(d.schema.fields + more.fields))
+    more = StructType.fromDDL("_hit array<int>, _items array<string>" + ", _n bigint, _spans array<struct<start: int, end: int>>" * last)
+    return d.mapInArrow(run, StructType(whole + more.fields))
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, size: int, block_chars: int) -> DataFrame:
-    """`row` (all columns of docs, packed so that no name can clash) with _n, _hit, _items and _spans."""
+def _owned(benchmark: DataFrame, item_id: str, item_text: str, size: int) -> DataFrame:
+    """(w, ids), stored: the distinct windows and, sorted, the items that have them."""
     asked = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    chars = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // block_chars))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 1, rows=64):
+            rows = [(i, w) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in set(windows(words(t), size))]
+            yield pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in rows], pa.string()), "w": pa.array([r[1] for r in rows], pa.string())})
+
+    return stored(asked.mapInArrow(cut, "id string, w string").groupBy("w").agg(F.array_sort(F.collect_set("id")).alias("ids")), "windows")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, size: int, block_windows: int) -> DataFrame:
+    """`row` (all columns of docs, packed so that no name can clash) with _n, _hit, _items and _spans."""
+    owned = _owned(benchmark, item_id, item_text, size)
+    blocks = max(1, -(-owned.count() // block_windows))
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("_t"))
     for b in range(blocks):
-        block = [tuple(r) for r in asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()]
-        out = _pass(out, block, size)
-        if b:
-            out = out.select("row", "_t", "_n", F.array_sort(F.array_union("_hit0", "_hit")).alias("_hit"), F.array_sort(F.array_union("_items0", "_items")).alias("_items"), F.array_union("_spans0", "_spans").alias("_spans"))
-        if b + 1 < blocks:
-            out = out.select("row", "_t", F.col("_hit").alias("_hit0"), F.col("_items").alias("_items0"), F.col("_spans").alias("_spans0"))
+        block = [(r.w, list(r.ids)) for r in owned.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == b).toLocalIterator()]
+        out = _pass(out, block, b + 1 == blocks)
+    drop(owned)
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, hit_words (indexes), items (ids, sorted as strings) and spans (of the original text) per row.
 
     Null and wordless texts have no words and no hit. Benchmark rows without id or text contribute nothing; repeated
     rows and windows count once. An empty benchmark hits nothing.
     """
-    out = _scanned(docs.select(doc_id, text), benchmark, text, item_id, item_text, size, block_chars)
+    out = _scanned(docs.select(doc_id, text), benchmark, text, item_id, item_text, size, block_windows)
     return out.select(F.col(f"row.{doc_id}").alias("doc_id"), F.col("_n").alias("n_words"), F.col("_hit").alias("hit_words"), F.col("_items").alias("items"), F.array_sort("_spans").alias("spans"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows without a hit word, with the columns they came with."""
-    return _scanned(docs, benchmark, text, item_id, item_text, size, block_chars).filter(F.size("_hit") == 0).select("row.*")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows without a hit word, with the columns they came with. Null texts and, if the benchmark is empty, all rows stay."""
+    return _scanned(docs, benchmark, text, item_id, item_text, size, block_windows).filter(F.size("_hit") == 0).select("row.*")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import parts
+
 PROFILE = 400
 BLANK = 32
 FLUSH = 1_000_000
@@ -104,7 +106,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
                 v, n = merged(parts)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(v), pa.string()), "gram": pa.array(v), "n": pa.array(n)})
 
-        for batch in batches:
+        for batch in parts(batches, 1):
             by: dict[str, list[np.ndarray]] = {}
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(name, []).append(grams(t))
@@ -140,7 +142,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], doc_id: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Profiles(*shared.value)
-        for batch in batches:
+        for batch in parts(batches, len(own)):
             got = [p.predict(t) for t in batch.column(len(own)).to_pylist()]
             cols = {c: batch.column(k) for k, c in enumerate(own)}
             yield pa.RecordBatch.from_pydict(cols | {"lang_pred": pa.array([x[0] for x in got], pa.string()), "score": pa.array([x[1] for x in got], pa.float64())})

@@ -10,6 +10,7 @@ The order is two: counts of longer n-grams, nearly all distinct, would take more
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,25 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, runs
-from .util import fresh_path
+from .util import fresh_path, parts
 
 CHUNK_TOKENS = 2_000_000
 TOKENS_A_SHARD = 4_000_000
-MOST_SHARDS = 8192
+OPEN_SHARDS = 64  # of one array that a worker has mapped at a time
+MOST_WORDS = (1 << 31) - 2  # distinct words whose numbers fit into half a key
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = int(mix(np.array([0x5EED], dtype=np.uint64))[0] >> np.uint64(1))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size, base = max(1 << 16, 1 << n.bit_length()), 0xD1342543DE82EF95
-        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def tokens(text: str | None) -> np.ndarray:
     """The hashes of a text's words, A-Z lower-cased, and then the end."""
     flat = b" ".join((text or "").encode("utf-8", "replace").translate(_FOLD).split())
@@ -52,7 +44,7 @@ class Shards:
     """Files of one sorted array (keys, and values beside them), in the order of their keys."""
 
     folder: str
-    files: list[tuple[str, int, int]]  # name, rows, least key
+    files: list[tuple[str, int, int, int]]  # name, rows, least key, sum of the first column
     columns: tuple[str, ...]
     running: bool = False  # whether running sums of the first column lie beside it
 
@@ -70,9 +62,20 @@ class Mapped:
         self.names = shards.columns
         self.first = np.array([f[2] for f in shards.files], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum([f[1] for f in shards.files]))).astype(np.int64)
-        files = ("key", *self.names, *(["sum"] if shards.running else []))
-        self.maps = [{c: np.memmap(f"{shards.folder}/{name}.{c}", dtype=np.int64, mode="r", shape=(n,)) for c in files} for name, n, _ in shards.files]
-        self.before = np.concatenate(([0], np.cumsum([m["sum"][-1] for m in self.maps]))) if shards.running else None
+        self.shards = shards
+        self.maps: OrderedDict[int, dict[str, np.ndarray]] = OrderedDict()
+        self.before = np.concatenate(([0], np.cumsum([f[3] for f in shards.files]))) if shards.running else None
+
+    def shard(self, s: int) -> dict[str, np.ndarray]:
+        """The arrays of one shard; of OPEN_SHARDS mapped ones the one that was asked for longest ago is closed for it."""
+        if s not in self.maps:
+            if len(self.maps) >= OPEN_SHARDS:
+                self.maps.popitem(last=False)
+            name, n = self.shards.files[s][:2]
+            files = ("key", *self.names, *(["sum"] if self.shards.running else []))
+            self.maps[s] = {c: np.memmap(f"{self.shards.folder}/{name}.{c}", dtype=np.int64, mode="r", shape=(n,)) for c in files}
+        self.maps.move_to_end(s)
+        return self.maps[s]
 
     def masses(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sum of the first column before each place, and its value there; both read from the mapped files."""
@@ -81,10 +84,10 @@ class Mapped:
         less, own = np.zeros(len(asked)), np.zeros(len(asked))
         for s in np.unique(shard):
             at = np.flatnonzero(shard == s)
-            if s >= len(self.maps):
+            if s >= len(self.shards.files):
                 less[at] = self.before[-1]
                 continue
-            m, pos = self.maps[s], asked[at] - self.starts[s]
+            m, pos = self.shard(s), asked[at] - self.starts[s]
             own[at] = m[self.names[0]][pos]
             less[at] = self.before[s] + m["sum"][pos] - own[at]
         return less[back], own[back]
@@ -98,7 +101,7 @@ class Mapped:
             shard = np.searchsorted(self.first, asked, side="right") - 1
             for s in np.unique(shard[shard >= 0]):
                 own = np.flatnonzero(shard == s)
-                m = self.maps[s]
+                m = self.shard(s)
                 at = np.searchsorted(m["key"], asked[own])
                 ok = at < len(m["key"])
                 ok[ok] = m["key"][at[ok]] == asked[own][ok]
@@ -156,10 +159,11 @@ def write_shards(parts: DataFrame, shards: int, spark_path: str, columns: tuple[
             for f in out.values():
                 f.close()
         if n:
-            yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64()), "least": pa.array([least], pa.int64())})
+            total += int(kept[1][:, 0].sum()) if kept else 0
+            yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64()), "least": pa.array([least], pa.int64()), "total": pa.array([total], pa.int64())})
 
-    rows = dealt.select("pid", "key", *columns).mapInArrow(run, "name string, n bigint, least bigint").collect()
-    return Shards(folder, sorted([(r.name, r.n, r.least) for r in rows], key=lambda r: r[2]), columns, running)
+    rows = dealt.select("pid", "key", *columns).mapInArrow(run, "name string, n bigint, least bigint, total bigint").collect()
+    return Shards(folder, sorted([(r.name, r.n, r.least, r.total) for r in rows], key=lambda r: r[2]), columns, running)
 
 
 def _append(out: dict, folder: str, name: str, columns: tuple[str, ...], k: np.ndarray, v: np.ndarray, total: int | None) -> int:
@@ -180,7 +184,7 @@ def _rows(pid: np.ndarray, keys: np.ndarray, values: np.ndarray, columns: tuple[
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Token arrays of texts, about CHUNK_TOKENS at a time."""
     held, n = [], 0
-    for batch in batches:
+    for batch in parts(batches, 0):
         for t in batch.column(0).to_pylist():
             held.append(tokens(t))
             n += len(held[-1])
@@ -220,7 +224,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{text}`").alias("text"))
     size = d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    shards = int(min(MOST_SHARDS, max(spark.sparkContext.defaultParallelism * 2, size[1] // (6 * TOKENS_A_SHARD) + 1)))
+    shards = int(max(spark.sparkContext.defaultParallelism * 2, size[1] // (6 * TOKENS_A_SHARD) + 1))
     root = fresh_path(spark, "lm")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +234,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     words = write_shards(d.mapInArrow(count_words, "pid int, key bigint, n bigint"), shards, f"{root}/words", ("n",), running=True)
     distinct = words.rows()
+    if distinct > MOST_WORDS:
+        raise ValueError(f"{distinct} distinct words; pairs of the numbers of {MOST_WORDS} fit into one key")
     begin = distinct  # the number that stands before a text's first word
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,12 +252,13 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     names = ("total", "one", "two", "more", "before")
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = pairs.open().maps
+        opened = pairs.open()
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                if s < len(maps):
-                    for lo in range(0, len(maps[s]["key"]), CHUNK_TOKENS):
-                        k, n = np.asarray(maps[s]["key"][lo : lo + CHUNK_TOKENS]), np.asarray(maps[s]["n"][lo : lo + CHUNK_TOKENS])
+                if s < len(pairs.files):
+                    m = opened.shard(s)
+                    for lo in range(0, len(m["key"]), CHUNK_TOKENS):
+                        k, n = np.asarray(m["key"][lo : lo + CHUNK_TOKENS]), np.asarray(m["n"][lo : lo + CHUNK_TOKENS])
                         zero = np.zeros_like(n)
                         a = _summed(k >> 32, np.stack((n, n == 1, n == 2, n > 2, zero), axis=1).astype(np.int64))
                         b = _summed(k & 0xFFFFFFFF, np.stack((zero, zero, zero, zero, np.ones_like(n)), axis=1))
@@ -262,18 +269,17 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     stats = write_shards(each.mapInArrow(kinds, "pid int, key bigint, " + ", ".join(f"{c} bigint" for c in names)), shards, f"{root}/stats", names)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, q = pairs.open().maps, stats.open().maps
-        w = words.open().maps
+        p, q = pairs.open(), stats.open()
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                n = np.asarray(p[s]["n"]) if s < len(p) else np.zeros(0, np.int64)
-                c = np.asarray(q[s]["before"]) if s < len(q) else np.zeros(0, np.int64)
-                row = [(n == i).sum() for i in (1, 2, 3, 4)] + [(c == i).sum() for i in (1, 2, 3, 4)] + [(c > 2).sum(), np.asarray(w[s]["n"]).sum() if s < len(w) else 0]
-                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in row], names=[f"c{i}" for i in range(10)])
+                n = np.asarray(p.shard(s)["n"]) if s < len(pairs.files) else np.zeros(0, np.int64)
+                c = np.asarray(q.shard(s)["before"]) if s < len(stats.files) else np.zeros(0, np.int64)
+                row = [(n == i).sum() for i in (1, 2, 3, 4)] + [(c == i).sum() for i in (1, 2, 3, 4)] + [(c > 2).sum()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in row], names=[f"c{i}" for i in range(9)])
 
-    most = max(1, len(pairs.files), len(stats.files), len(words.files))
-    sums = spark.range(0, most, 1, most).mapInArrow(tally, ", ".join(f"c{i} bigint" for i in range(10))).agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(10)]).first()
-    return Model(words, pairs, stats, int(sums[9]), distinct, size[0], (_discounts(sums[0:4]), _discounts(sums[4:8])), (int(sums[4]), int(sums[5]), int(sums[8])))
+    most = max(1, len(pairs.files), len(stats.files))
+    sums = spark.range(0, most, 1, most).mapInArrow(tally, ", ".join(f"c{i} bigint" for i in range(9))).agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(9)]).first()
+    return Model(words, pairs, stats, sum(f[3] for f in words.files), distinct, size[0], (_discounts(sums[0:4]), _discounts(sums[4:8])), (int(sums[4]), int(sums[5]), int(sums[8])))
 
 
 def _shard(keys: np.ndarray, known: Mapped, shards: int, begin: int) -> np.ndarray:
@@ -291,7 +297,7 @@ def _shard(keys: np.ndarray, known: Mapped, shards: int, begin: int) -> np.ndarr
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """doc_id, `keep`, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) per row."""
+    """doc_id, `keep`, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) per row; a null text is empty, that is, its end."""
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *(keep or []), F.col(f"`{text}`").alias("_t"))
     own = d.columns[:-1]
     (d1, d2, d3), (e1, e2, e3) = model.discounts
@@ -304,27 +310,25 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, stats = model.words.open(), model.pairs.open(), model.stats.open()
         left = (e1 * model.kinds[0] + e2 * model.kinds[1] + e3 * model.kinds[2]) / max(1, sum_kinds) if sum_kinds else 1.0
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                texts = [tokens(t) for t in batch.column(len(own)).to_pylist()]
-                sizes = np.array([len(t) for t in texts])
-                first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                ids, (c,) = words.find(np.concatenate(texts))
-                before = np.concatenate(([v], ids[:-1]))
-                before[first] = v
-                both = (before >= 0) & (ids >= 0)
-                _, (n,) = pairs.find(np.where(both, (before << 32) | ids, -1))
-                _, (total, one, two, more, _) = stats.find(before)
-                _, (_, _, _, _, kinds_before) = stats.find(ids)
-                low = less(kinds_before, e1, e2, e3) / max(1, sum_kinds) + left / (v + 1)
-                p = np.where(total > 0, less(n, d1, d2, d3) / np.maximum(1, total) + (d1 * one + d2 * two + d3 * more) / np.maximum(1, total) * low, low)
-                base = np.log10((c + 0.5) / (model.train_tokens + 0.5 * (v + 1)))
-                cols = {name: batch.column(k) for k, name in enumerate(own)}
-                yield pa.RecordBatch.from_pydict(cols | {
-                    "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), "train_tokens": pa.array([model.train_tokens] * len(sizes), pa.int64()),
-                    "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(np.log10(p), first)),
-                })
+        for batch in parts(batches, len(own)):
+            texts = [tokens(t) for t in batch.column(len(own)).to_pylist()]
+            sizes = np.array([len(t) for t in texts])
+            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            ids, (c,) = words.find(np.concatenate(texts))
+            before = np.concatenate(([v], ids[:-1]))
+            before[first] = v
+            both = (before >= 0) & (ids >= 0)
+            _, (n,) = pairs.find(np.where(both, (before << 32) | ids, -1))
+            _, (total, one, two, more, _) = stats.find(before)
+            _, (_, _, _, _, kinds_before) = stats.find(ids)
+            low = less(kinds_before, e1, e2, e3) / max(1, sum_kinds) + left / (v + 1)
+            p = np.where(total > 0, less(n, d1, d2, d3) / np.maximum(1, total) + (d1 * one + d2 * two + d3 * more) / np.maximum(1, total) * low, low)
+            base = np.log10((c + 0.5) / (model.train_tokens + 0.5 * (v + 1)))
+            cols = {name: batch.column(k) for k, name in enumerate(own)}
+            yield pa.RecordBatch.from_pydict(cols | {
+                "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), "train_tokens": pa.array([model.train_tokens] * len(sizes), pa.int64()),
+                "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(np.log10(p), first)),
+            })
 
     from pyspark.sql.types import StructType
 

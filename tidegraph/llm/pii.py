@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import parts
+
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
-MAX_TOKENS = 24
-MAX_CHARS = 80
+MAX_TOKENS, MAX_CHARS = 24, 80  # the longest segment of the field; longer data is a base span or none
 
 # The patterns of the base kinds.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -53,7 +54,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             floor = at + 1
         at = text.find("@", floor)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p := q.lstrip("0")) <= 3 and int(p or 0) <= 255 for q in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -307,7 +308,7 @@ def trained(sentences: int = 500, epochs: int = 4, seed: int = 7) -> Model:
 
 
 def find(text: str | None, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans) as (start, kind, end): the model adds those that overlap no base span."""
+    """(base spans, all spans) as (start, kind, end): the model adds those that overlap no base span. Null has none."""
     if not text or not _ANCHOR.search(text):
         return [], []
     base = base_spans(text)
@@ -337,7 +338,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(shared.value)
-        for batch in batches:
+        for batch in parts(batches, 1):
             found = [find(t, m) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _spans([x[0] for x in found]), _spans([x[1] for x in found])], names=["doc_id", "base_spans", "spans"])
 
@@ -365,7 +366,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(shared.value)
-        for batch in batches:
+        for batch in parts(batches, 1):
             new = [masked(t, find(t, m)[1]) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["row", "t"])
 

@@ -3,8 +3,10 @@
 Strong spans (long assigned values, access keys, long hexadecimal runs) stand by themselves. Weak candidates
 (short assigned values, bare 40-character keys) are reported only when an access identifier or an endpoint lies within
 `reach` code points of them inside the same scope, a block of text between blank lines; without a `reach`, anywhere in
-the scope, which the last start and the first end of its parts decide. With one, parts are linked by an interval join on (row, scope, bin): an identifier covers each bin within its reach, a candidate its own one or two, so
-a bin holds at most as many parts as fit into its `reach` characters and no pair is made beyond it.
+the scope. Candidates and parts meet in an interval join: on (row, scope) with the span of a scope's parts, reduced before
+it to their first end and last start; or, within a reach, on (row, scope, bin), where a part covers each bin within its
+reach and a candidate its own one or two, so a bin holds as many parts as fit into its characters and no pair is made
+beyond it.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ HEX = r"[0-9a-f]{16,}"
 # ASSIGN does not take names such as secret_access_key, so their values are weak candidates at any length from 6.
 WEAK_ASSIGN = r"""(?i:secret[_-]?(?:access[_-]?)?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}|(?i:password|passwd|pwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,11}(?![A-Za-z0-9+/_.=-])"""
 WEAK_KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
-IDENTIFIER = r"""AKIA[A-Z0-9]{14,}|(?i:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}"""
-ENDPOINT = r"""(?i:https?|postgres|mysql|mongodb|redis|ftp)://[^\s"'<>]{4,512}|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,512}"""
+IDENTIFIER = r"""AKIA[A-Z0-9]{14,}|(?i:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+ENDPOINT = r"""(?i:https?|postgres|mysql|mongodb|redis|ftp)://[^\s"'<>]{4,}|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}"""
 SCOPE_BREAK = r"\n[\x20\x09\r]*\n"
 
 KINDS = ("assign", "access", "hex", "linked")
@@ -54,7 +56,7 @@ def _spans(name: str, kind: int, offset: str = "0L", keep: str = "true") -> str:
 
 
 def _links(docs: DataFrame, reach: int | None) -> DataFrame:
-    """(_key, start, end) of every weak candidate with a complementary part in reach, from rows (_key, _t)."""
+    """(_key, start, end) of every weak candidate with a complementary part in reach, from rows (_key, _t); equal rows count once."""
     weak, part = f"{WEAK_ASSIGN}|{WEAK_KEY}", f"{IDENTIFIER}|{ENDPOINT}"
     d = docs.filter(F.col("_t").rlike(weak) & F.col("_t").rlike(part))
     d = d.withColumn("_b", F.split("_t", SCOPE_BREAK))
@@ -63,15 +65,14 @@ def _links(docs: DataFrame, reach: int | None) -> DataFrame:
     d = d.select("_key", F.posexplode(F.arrays_zip("_b", "_o")).alias("scope", "z"))
     d = d.select("_key", "scope", F.col("z._o").alias("o"), F.col("z._b").alias("_t"))
     d = _found(_found(d, "_t", "w", weak), "_t", "p", part)
-    if reach is None:  # some part begins after the candidate's end or ends before its start
-        d = d.filter("size(w_h) > 0 AND size(p_h) > 0").withColumn("last", F.expr("array_max(p_s)")).withColumn("first", F.expr("array_min(zip_with(p_s, p_h, (s, h) -> s + length(h)))"))
-        d = d.withColumn("w", F.expr(f"transform({_spans('w', 1)}, x -> struct(x.start AS start, x.end AS end))"))
-        d = d.select("_key", "o", F.explode(F.expr("filter(w, x -> last >= x.end OR first <= x.start)")).alias("x"))
-        return d.select("_key", F.expr("o + x.start").alias("start"), F.expr("o + x.end").alias("end"))
     d = d.withColumn("both", F.expr(f"concat({_spans('w', 1, 'o')}, {_spans('p', 0, 'o')})")).filter("size(w_h) > 0 AND size(p_h) > 0")
     d = d.select("_key", "scope", F.explode("both").alias("x")).select("_key", "scope", "x.start", "x.end", "x.k").distinct()  # equal rows make their pairs once
-    secrets = d.filter("k = 1").withColumn("bin", F.explode(F.array_distinct(F.array(F.expr(f"start div {reach}"), F.expr(f"end div {reach}")))))
-    parts = d.filter("k = 0").select("_key", "scope", F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.explode(F.expr(f"sequence((start - {reach}) div {reach} - 1, (end + {reach}) div {reach})")).alias("bin"))
+    secrets, parts = d.filter("k = 1").select("_key", "scope", "start", "end"), d.filter("k = 0").select("_key", "scope", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    if reach is None:  # of a scope's parts the one that ends first and the one that begins last reach all candidates that any of them does
+        parts = parts.groupBy("_key", "scope").agg(F.min("p_end").alias("p_end"), F.max("p_start").alias("p_start"))
+        return secrets.join(parts, ["_key", "scope"]).filter("p_start >= end OR start >= p_end").select("_key", "start", "end")
+    secrets = secrets.withColumn("bin", F.explode(F.array_distinct(F.array(F.expr(f"start div {reach}"), F.expr(f"end div {reach}")))))
+    parts = parts.withColumn("bin", F.explode(F.expr(f"sequence((p_start - {reach}) div {reach} - 1, (p_end + {reach}) div {reach})")))
     near = (F.col("p_start") - F.col("end") <= reach) & (F.col("start") - F.col("p_end") <= reach)
     apart = (F.col("p_start") >= F.col("end")) | (F.col("start") >= F.col("p_end"))
     return secrets.join(parts, ["_key", "scope", "bin"]).filter(near & apart).select("_key", "start", "end").distinct()

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 20_000  # bound of the labelled rows and of the rows that the classifier is fitted on
-LEARNED_WORDS = 300
+from .util import drop, parts, split_by, stored
+
+SAMPLE_ROWS = 20_000  # bound of the rows that the classifier is fitted on
+LEARNED_WORDS = 300  # size of either learned lexicon
 ABSTAIN, CLEAN, TOXIC = 0, 1, 2
 
 # Common English insults, in groups that vote separately.
@@ -135,18 +137,45 @@ def _features(votes: list[int], counts: dict[str, int], n: int, vocabulary: dict
     return at, x
 
 
-def _sampled(d: DataFrame, bound: int, salt: str) -> DataFrame:
-    """About `bound` rows at most, chosen by a hash of the text; all while there are no more."""
-    n = d.count()
-    return d if n <= bound else d.filter(F.pmod(F.xxhash64(F.lit(salt), "text"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+def _rows(docs: DataFrame, doc_id: str, text: str, own: Column) -> DataFrame:
+    """(doc_id, text, hash of the text, own)."""
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0)).alias("h"), own.alias("own"))
+
+
+def _only(d: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of d that are among chosen (doc_id, h, n, toxic), each text once; only texts that may be among them move."""
+    key = lambda i, h: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("")), F.col(h))
+    c = chosen.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), "n", "toxic")
+    may, _ = split_by(d, key("doc_id", "h"), c.select(key("_i", "_h").alias("k")))
+    got = may.join(c, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("text", "h", "n", "toxic")
+    return got.filter("n = 1").unionByName(got.filter("n > 1").dropDuplicates(["h"])).select("text", "toxic")
+
+
+def _distinct_rows(d: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(text, toxic) of each distinct text among the rows of d that may be learned from and are labelled, once, with its
+    largest label; without labels, of all such rows. Which row stands for a text is decided on ids and hashes alone."""
+    light = d.filter("own").groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    light = light.withColumn("toxic", F.lit(0)) if labels is None else light.join(labels, "doc_id")
+    first = light.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n")).alias("f"), F.max("toxic").alias("toxic"))
+    return _only(d.filter("own"), first.select("f.doc_id", "h", "f.n", "toxic"))
+
+
+def _sampled(d: DataFrame, bound: int) -> DataFrame:
+    """`bound` distinct texts at most of the rows that may be learned from, the first by a hash of the text's hash."""
+    light = d.filter("own").groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    first = light.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n")).alias("f"))
+    chosen = first.select("f.doc_id", "h", "f.n", F.lit(0).alias("toxic")).orderBy(F.xxhash64(F.lit("fit"), "h"), "h").limit(bound)
+    return _only(d.filter("own"), stored(chosen, "fit"))
 
 
 def learn_lexicon(labelled: DataFrame, size: int = LEARNED_WORDS) -> Lexicon:
-    """Words of rows (text, toxic) whose share of toxic rows differs most from the rest's, by the log-likelihood ratio."""
+    """Words of all rows (text, toxic) whose share of toxic rows differs most from the rest's, by the log-likelihood ratio;
+    those whose ratio is no significant one are not learned. Null labels don't come here; null texts have no word."""
+    labelled = stored(labelled, "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in parts(batches, 0):
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for w in set(_WORD.findall((t or "").lower())):
                     sums.setdefault(w, [0, 0])[1 if y else 0] += 1
@@ -159,8 +188,10 @@ def learn_lexicon(labelled: DataFrame, size: int = LEARNED_WORDS) -> Lexicon:
     toxic = both[0] or 0
     clean = (both[1] or 0) - toxic
     if not toxic or not clean:
+        drop(labelled)
         return Lexicon()
-    sums = labelled.select("text", "toxic").mapInArrow(count, "w string, c bigint, t bigint").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    sums = stored(labelled.select("text", "toxic").mapInArrow(count, "w string, c bigint, t bigint").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "words")
+    drop(labelled)
     share = toxic / (toxic + clean)
     n = F.col("t") + F.col("c")
     g = 2 * (F.col("t") * F.log(F.col("t") / (n * share)) + F.coalesce(F.col("c") * F.log(F.nullif(F.col("c"), F.lit(0)) / (n * (1 - share))), F.lit(0.0)))
@@ -171,6 +202,7 @@ def learn_lexicon(labelled: DataFrame, size: int = LEARNED_WORDS) -> Lexicon:
     stems = stems.filter((F.col("t") > 0) & (F.col("n") >= STEM_WORDS) & (2 * F.col("most") <= F.col("t"))).withColumn("g", g).filter((F.col("g") > LEAST_G) & (F.col("t") >= 4 * F.col("c"))).orderBy(F.desc("g"), "stem").limit(size).collect()
     shortest = [r for r in stems if not any(r.stem != o.stem and r.stem.startswith(o.stem) for o in stems)]
     rate = sum(r.c for r in shortest) / max(1, sums.agg(F.sum("c")).first()[0] or 0)
+    drop(sums)
     return Lexicon({r.w: float(r.g) for r in words}, {r.stem: float(r.g) for r in stems}, rate)
 
 
@@ -189,20 +221,20 @@ class Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", bound: int = SAMPLE_ROWS) -> Classifier:
-    """Lexicons learn from labelled rows where learn_from holds; votes of all rows fit the label model.
+    """Lexicons learn from all labelled rows where learn_from holds, each text once; votes of all rows fit the label model.
 
-    Vote patterns reach the driver as counts (one row a distinct pattern), the classifier's rows as a sample under `bound`.
+    Vote patterns reach the driver as counts (one row a distinct pattern), the classifier's rows as `bound` texts at most.
     Null texts vote like empty ones; rows whose label is null teach nothing; without labels the fixed lists remain.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), learn_from.alias("own"))
+    d = _rows(docs, doc_id, text, learn_from)
     known = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lexicon = learn_lexicon(_sampled(d.filter("own").join(known, "doc_id").select("text", "toxic"), bound, "labels").dropDuplicates(["text"]))
+    lexicon = learn_lexicon(_distinct_rows(d, known))
     shared = spark.sparkContext.broadcast(lexicon)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, int] = {}
-        for batch in batches:
+        for batch in parts(batches, 0):
             for t in batch.column(0).to_pylist():
                 key = "".join(map(str, found(t, shared.value)[0]))
                 sums[key] = sums.get(key, 0) + 1
@@ -216,11 +248,11 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str =
     vocabulary = {w: i for i, w in enumerate(sorted(_INSULT | set(lexicon.words) | {f"{x}*" for x in lexicon.stems}))}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 0):
             got = [(f[0], *_features(*f, vocabulary)) for f in (found(t, shared.value) for t in batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_pydict({"votes": pa.array([g[0] for g in got], pa.list_(pa.int32())), "at": pa.array([g[1] for g in got], pa.list_(pa.int32())), "x": pa.array([g[2] for g in got], pa.list_(pa.float64()))})
 
-    sample = _sampled(d.filter("own").select("text"), bound, "fit").mapInArrow(featured, "votes array<int>, at array<int>, x array<double>").toArrow().to_pydict()
+    sample = _sampled(d, bound).select("text").mapInArrow(featured, "votes array<int>, at array<int>, x array<double>").toArrow().to_pydict()
     size = 3 + len(VOTERS) + len(vocabulary)
     if not sample["votes"]:
         return Classifier(lexicon, vocabulary, np.concatenate(([-3.0], np.full(size - 1, 0.5))), model)
@@ -244,7 +276,7 @@ def score(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Classifier(*shared.value)
-        for batch in batches:
+        for batch in parts(batches, len(own)):
             s = [c.score(t) for t in batch.column(len(own)).to_pylist()]
             cols = {name: batch.column(k) for k, name in enumerate(own)}
             yield pa.RecordBatch.from_pydict(cols | {"score": pa.array(s, pa.float64()), "predicted": pa.array([int(v >= 0.5) for v in s], pa.int32())})

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import fresh_path, stored
@@ -22,7 +22,7 @@ from .util import fresh_path, stored
 FILE_BYTES = 1 << 30
 GAP_BYTES = 1 << 16
 RANGE_BYTES = 8 << 20
-BROADCAST_ROWS = 200_000
+SALTS = 32  # tasks over which the rows of one payload are dealt
 LEAST_BYTES = 100
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 INDEX = "page_id bigint, url string, file string, offset bigint, length bigint, payload_digest string"
@@ -71,17 +71,18 @@ def write(pages: DataFrame, root: str | None = None, page_id: str = "page_id", u
     """Writes one record a row under `root` and returns (stored index, root).
 
     Of rows with equal payloads of LEAST_BYTES or more, those of the smallest page_id (null last) are responses, the
-    others revisit it; null html is an empty payload. Payloads stay where they are read: only digests are shuffled, and
-    repeated digests are joined back by broadcast while they are few, else by a sort-merge join.
+    others revisit it; null html is an empty payload. Repeated payloads are found from digests and page_ids alone, counted
+    by digest and salt first, and marks (digest, salt, first) go back to the rows: broadcast where Spark's own limit on
+    their size allows it, else by a join in which the rows of one payload are dealt over SALTS keys.
     """
     spark = pages.sparkSession
     root = root or fresh_path(spark, "warc")
     d = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    d = d.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    equal = d.filter(F.octet_length("html") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    equal = stored(equal, "warc-equal")
-    few = equal.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    d = d.join(F.broadcast(equal) if few else equal, "digest", "left")
+    d = d.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    dealt = d.filter(F.octet_length("html") >= LEAST_BYTES).groupBy("digest", "salt").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    every = Window.partitionBy("digest")  # SALTS rows at most
+    marks = dealt.select("digest", "salt", F.min("first").over(every).alias("first"), F.sum("n").over(every).alias("n")).filter("n > 1").drop("n")
+    d = d.join(stored(marks, "warc-marks"), ["digest", "salt"], "left")
     d = d.withColumn("revisits", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).select("page_id", "url", "html", "digest", "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
