@@ -1,6 +1,6 @@
 """Benchmark decontamination with an Aho-Corasick automaton over normalised item windows.
 
-Each text is normalised and scanned once for a block of windows, as a sequence of words; hits are mapped back to the
+Each text is normalised and scanned once for a block of windows, as a string of words' codes; hits are mapped back to the
 original's code points. The benchmark is a stated query set: its distinct windows are dealt into blocks of bounded number,
 one automaton each, broadcast to the workers. A usual benchmark is one block; more blocks are further passes of the same
 rows, without a shuffle, which hand on the words hit so far; the last one turns them into spans.
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .util import drop, parts, stored
 
 WINDOW = 10
-BLOCK_WINDOWS = 100_000  # windows of one automaton, each of `size` nodes at most
+WIDTH = 3  # characters of a word's code: 2 097 151 words
+BLOCK_WINDOWS = 50_000  # windows of one automaton, each of WIDTH * size nodes at most
 
 # A-Z to a-z; other ASCII that is neither letter nor digit to a space; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -35,30 +36,42 @@ def windows(item: list[str], size: int = WINDOW) -> list[str]:
     return [" ".join(item[i : i + size]) for i in range(max(1, len(item) - size + 1))] if item else []
 
 
-def automaton(owned: list[tuple[str, list[str]]]) -> tuple[dict[str, int], object]:
-    """Word numbers, and one automaton over the windows as sequences of them; each carries its length and its items."""
+def coded(number: int) -> str:
+    """A word's number as WIDTH characters, of another alphabet at each place, so that no match begins inside a word."""
+    return "".join(chr((1 + k) * 256 + (number >> 7 * k) % 128) for k in range(WIDTH))
+
+
+def automaton(owned: list[tuple[str, list[str]]]) -> tuple[dict[str, str], object]:
+    """Words' codes, and one automaton over the windows as strings of them; each carries its length and its items."""
     import ahocorasick
 
-    numbers: dict[str, int] = {}
-    a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    codes: dict[str, str] = {}
+    a = ahocorasick.Automaton()
     for window, ids in owned:
-        key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in window.split(" "))
-        a.add_word(key, (len(key), tuple(ids)))
+        own = window.split(" ")
+        for w in own:
+            if w not in codes:
+                codes[w] = coded(len(codes) + 1)
+        a.add_word("".join([codes[w] for w in own]), (len(own), tuple(ids)))
     a.make_automaton()
-    return numbers, a
+    return codes, a
 
 
-def hits(found: list[str], numbers: dict[str, int], auto) -> tuple[set[int], set[str]]:
+def hits(found: list[str], codes: dict[str, str], auto) -> tuple[set[int], set[str]]:
     """The indexes of hit words and the items with an occurring window; words of no window are number 0."""
     hit: set[int] = set()
     items: set[str] = set()
-    if numbers:
-        for last, (n, ids) in auto.iter(tuple([numbers.get(w, 0) for w in found])):
+    if codes:
+        for at, (n, ids) in auto.iter("".join([codes.get(w, NO_WORD) for w in found])):
+            last = at // WIDTH
             hit.update(range(last - n + 1, last + 1))
             items.update(ids)
     return hit, items
 
 
+NO_WORD = coded(0)
+
+
 def word_spans(text: str, hit: list[int]) -> list[dict[str, int]]:
     """Runs of hit words as spans of the original text, code points, end exclusive."""
     marks = [m.span() for m in _WORD.finditer(text)]
@@ -88,13 +101,13 @@ def _pass(d: DataFrame, block: list[tuple[str, list[str]]], last: bool) -> DataF
     before, whole = "_hit" in d.columns, d.select("row", "_t").schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, auto = _auto(shared, key)
+        codes, auto = _auto(shared, key)
         for batch in parts(batches, 1):
             n, hit, items, spans = [], [], [], []
             old = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if before else [((), ())] * batch.num_rows
             for t, (was_hit, had) in zip(batch.column(1).to_pylist(), old):
                 found = words(t)
-                h, i = hits(found, numbers, auto)
+                h, i = hits(found, codes, auto)
                 hit.append(sorted(h.union(was_hit)))
                 items.append(sorted(i.union(had)))
                 n.append(len(found))
