@@ -1,4 +1,4 @@
-"""Steps of writing to the graph: triplets, batch resolution, sagas, removal of episodes, seeds, call logs and caches."""
+"""Steps of writing to the graph: triplets, batch resolution, sagas, removal of episodes, seeds and caches."""
 
 from __future__ import annotations
 

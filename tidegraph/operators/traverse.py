@@ -25,8 +25,19 @@ def bfs_edges(edges: DataFrame, origins: DataFrame, depth: int = MAX_DEPTH, ment
     return reduce(DataFrame.unionByName, found).groupBy("uuid").agg(F.min("depth").alias("depth"))
 
 
-def bfs_nodes(edges: DataFrame, origins: DataFrame, depth: int = MAX_DEPTH, mentions: DataFrame | None = None) -> DataFrame:
-    """(uuid, depth): nodes reached in one to `depth` hops; an origin only if a cycle leads back to it."""
+def bfs_nodes(edges: DataFrame, origins: DataFrame, depth: int = MAX_DEPTH, mentions: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(uuid, depth): nodes reached in one to `depth` hops; an origin only if a cycle leads back to it.
+
+    With groups (uuid, group_id), only nodes of the group of an origin that leads to them; walks may pass others.
+    """
+    if groups is not None:
+        of = groups.select("uuid", F.col("group_id").alias("from"))
+        steps, frontier, found = _steps(edges, mentions), origins.select("uuid").distinct().join(of, "uuid"), []
+        for d in range(1, depth + 1):
+            frontier = frontier.join(steps, F.col("uuid") == F.col("source_node_uuid")).select(F.col("target_node_uuid").alias("uuid"), "from").distinct()
+            found.append(frontier.withColumn("depth", F.lit(d).cast("bigint")))
+        reached = reduce(DataFrame.unionByName, found).groupBy("uuid", "from").agg(F.min("depth").alias("depth"))
+        return reached.join(groups.select("uuid", F.col("group_id").alias("from")), ["uuid", "from"]).select("uuid", "depth")
     steps, frontier, found = _steps(edges, mentions), origins.select("uuid").distinct(), []
     for d in range(1, depth + 1):
         frontier = frontier.join(steps, F.col("uuid") == F.col("source_node_uuid")).select(F.col("target_node_uuid").alias("uuid")).distinct()

@@ -8,7 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; only where the session names none (tests on one machine) make a folder."""
+    """Use spark.checkpoint.dir; only a session on one machine (master local) that names none gets a folder made."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidegraph-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tidegraph-"))

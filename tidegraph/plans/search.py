@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import rerank, retrieve, traverse
+from ..operators import filters, rerank, retrieve, traverse
 from ..operators.filters import SearchFilters
 from ..sources.schema import FULLTEXT
 
@@ -49,7 +49,9 @@ def _recipes() -> dict[str, SearchConfig]:
     for r in ("rrf", "mmr", "cross_encoder"):
         out[f"community_{r}"] = SearchConfig(community=ScopeConfig(_TWO, r))
         m = _ALL if r == "cross_encoder" else _TWO
-        out[f"combined_{r}"] = SearchConfig(ScopeConfig(m, r), ScopeConfig(m, r), ScopeConfig(("bm25",), "cross_encoder" if r == "cross_encoder" else "rrf"), ScopeConfig(_TWO, r))
+        own = {"mmr_lambda": 1.0} if r == "mmr" else {}
+        out[f"combined_{r}"] = SearchConfig(ScopeConfig(m, r, **own), ScopeConfig(m, r, **own), ScopeConfig(("bm25",), "cross_encoder" if r == "cross_encoder" else "rrf"), ScopeConfig(_TWO, r, **own))
+    out["community_cross_encoder"] = replace(out["community_cross_encoder"], limit=3)
     return out
 
 
@@ -74,6 +76,17 @@ def scope(tables: dict[str, DataFrame], table: str, config: ScopeConfig, request
     where = request.filters.edge() if table == "entity_edge" else request.filters.node() if table == "entity" else SearchFilters(group_ids=request.filters.group_ids).node()
     if not request.query.strip():
         return df.limit(0).withColumn("score", F.lit(0.0))
+    if table == "entity_edge" and request.filters.node_labels:  # both endpoints have the labels
+        own, labelled = df.columns, tables["entity"].filter(filters.labelled("labels", request.filters.node_labels, request.filters.label_match))
+        for end in ("source_node_uuid", "target_node_uuid"):
+            df = df.join(labelled.select(F.col("uuid").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+        df = df.select(*own, F.coalesce(F.col("_source_node_uuid") & F.col("_target_node_uuid"), F.lit(False)).alias("_ends"))
+        where = where & F.col("_ends")
+    out = _found(tables, df, table, config, request, limit, where)
+    return out.drop("_ends")
+
+
+def _found(tables: dict[str, DataFrame], df: DataFrame, table: str, config: ScopeConfig, request: Request, limit: int, where: Column) -> DataFrame:
     lists: list[DataFrame] = []
     if "bm25" in config.methods:
         lists.append(rerank.ranked(retrieve.bm25(df, FULLTEXT[table], request.query, 2 * limit, where), 0))
@@ -132,6 +145,20 @@ def merged(results: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
     return {k: reduce(DataFrame.unionByName, [r[k] for r in results if k in r]) for k in {k for r in results for k in r}}
 
 
+def simple(tables: dict[str, DataFrame], request: Request, limit: int = LIMIT) -> DataFrame:
+    """Facts by the plain recipe: fused ranks, or by distance where a centre node is given."""
+    return search(tables, RECIPES["edge_rrf" if request.centre is None else "edge_node_distance"], request, limit)["edge"]
+
+
+def hybrid_nodes(nodes: DataFrame, queries: list[str], vectors: list[list[float]], limit: int = LIMIT, where: SearchFilters = SearchFilters(), min_score: float = 0.6) -> DataFrame:
+    """(uuid, score): the best 2 * limit nodes of each query and each vector, fused; the fused list is not cut."""
+    lists = [retrieve.bm25(nodes, FULLTEXT["entity"], q, 2 * limit, where.node()) for q in queries if q.strip()]
+    lists += [retrieve.by_vector(nodes, v, VECTORS["entity"], 2 * limit, min_score, where.node()) for v in vectors]
+    if not lists:
+        return nodes.select("uuid").limit(0).withColumn("score", F.lit(0.0))
+    return rerank.rrf(reduce(DataFrame.unionByName, [rerank.ranked(d.select("uuid", "score"), i) for i, d in enumerate(lists)]))
+
+
 def context(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: facts and entities as JSON for a prompt; both are search results of bounded length."""
     facts = edges.agg(F.to_json(F.sort_array(F.collect_list(F.struct("uuid", "fact")))).alias("f"))

@@ -57,5 +57,5 @@ def duck(*names: str) -> str:
     out = []
     for n in names:
         sql = SQL[n][0].replace("TIMESTAMP_NTZ", "TIMESTAMP").replace("array(", "list_value(")
-        out.append(f"{n} AS ({sql})")
+        out.append(f"{n} AS MATERIALIZED ({sql})")  # once, however often it is named
     return ",\n".join(out)

@@ -1,7 +1,7 @@
 """Episode ingestion in batch and by micro-batches, with pluggable models and deterministic stand-ins.
 
 A micro-batch upserts by content-derived uuids, so one that is replayed changes nothing. Rows of a group are written in
-order of arrival by the single writer of the store; late facts are settled against what is stored, never dropped.
+order of arrival by the single writer of the store; a late batch adds its episodes and earlier times to the stored facts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ..operators import resolve
 from ..sources.store import GraphStore
 
 # Names that are pronouns and stand for nobody.
-BLOCKED = "i me my you your he him she her it we us they them this that someone everyone".split()
+BLOCKED = "i you me we us he she they it my your yours mine our his her their this that these those".split()
 
 
 def capitalised(content: pd.Series) -> pd.Series:
@@ -78,9 +78,19 @@ def ingest(store: GraphStore, episodes: DataFrame, extract=capitalised, embed=ha
     facts = one.join(two, "episode").filter("source_node_uuid < target_node_uuid").withColumn("fact", F.concat("n1", F.lit(" appears with "), "n2"))
     facts = facts.groupBy("group_id", "source_node_uuid", "target_node_uuid").agg(F.min("fact").alias("fact"), F.min("at").alias("created_at"), F.array_sort(F.collect_set("episode")).alias("episodes"))
     facts = facts.select(F.sha2(F.concat_ws("|", F.lit("fact"), "group_id", "source_node_uuid", "target_node_uuid"), 256).alias("uuid"), "group_id", "source_node_uuid", "target_node_uuid", "created_at", F.lit("APPEARS_WITH").alias("name"), "fact", F.col("created_at").alias("valid_at"), "episodes")
+    facts = restated(facts, store.read("entity_edge"))
     store.upsert({"episodic": episodes, "entity": entities, "mentions": mentions, "entity_edge": resolve.exact_facts(facts)})
 
 
+def restated(facts: DataFrame, stored: DataFrame) -> DataFrame:
+    """Facts with the episodes of their stored row before their own, and the earlier of both times: an older or repeated
+    batch takes nothing away. What ended a stored fact still ends it."""
+    old = stored.select("uuid", F.col("episodes").alias("_e"), F.col("created_at").alias("_c"), F.col("valid_at").alias("_v"), F.col("invalid_at").alias("_i"), F.col("expired_at").alias("_x"))
+    d = facts.join(old, "uuid", "left")
+    d = d.withColumn("episodes", F.array_distinct(F.concat(F.coalesce("_e", F.array().cast("array<string>")), "episodes")))
+    return d.withColumn("created_at", F.least("created_at", "_c")).withColumn("valid_at", F.least("valid_at", "_v")).withColumn("invalid_at", F.col("_i")).withColumn("expired_at", F.col("_x")).drop("_e", "_c", "_v", "_i", "_x")
+
+
 def stream(store: GraphStore, source: DataFrame, checkpoint: str, **how):
     """Starts a query that ingests each micro-batch of a streaming DataFrame of episodes."""
     return source.writeStream.foreachBatch(lambda batch, _: ingest(store, batch, **how)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
