@@ -119,3 +119,26 @@ def query_terms(query: str, limit: int = 128) -> list[str]:
 
     found = [w for w in re.split(r"[^\w]+|_", query.lower()) if w and w not in STOP_WORDS]
     return [] if len(query.split()) >= limit else list(dict.fromkeys(found))
+
+
+def escaped(c: Column | str) -> Column:
+    """A full-text query with a backslash before every operator sign, and before the letters of OR, NOT and AND."""
+    return F.regexp_replace(c, r'([+\-&|!(){}\[\]^"~*?:\\/ORNTAD])', r"\\$1")
+
+
+def utc(c: Column | str, zone: str = "UTC") -> Column:
+    """A time without a zone, taken as local to `zone`, in UTC."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col(c) if isinstance(c, str) else c)
+
+
+def iso_json(c: Column | str) -> Column:
+    """A struct as JSON, every time in it, however deep, in ISO form."""
+    form = "yyyy-MM-dd'T'HH:mm:ss"
+    return F.to_json(c, {"timestampFormat": f"{form}XXX", "timestampNTZFormat": form})
+
+
+def composed(messages: Column | str) -> Column:
+    """A query from messages (role_type, role, content), one a line."""
+    c = F.col(messages) if isinstance(messages, str) else messages
+    part = lambda x: F.concat(F.coalesce(x.role_type, F.lit("")), F.lit("("), F.coalesce(x.role, F.lit("")), F.lit("): "), x.content, F.lit("\n"))
+    return F.array_join(F.transform(c, part), "")

@@ -390,7 +390,7 @@ def edge_exact_dedup(spark, sf):
     return resolve.exact_facts(view(spark, sf, "entity_edge")).select("uuid")
 
 
-@query("bulk_edge_candidates", "entity_edge", r"SELECT x.uuid AS a, y.uuid AS b FROM entity_edge x JOIN entity_edge y USING (source_node_uuid, target_node_uuid) WHERE x.uuid <> y.uuid AND list_has_any(string_split_regex(lower(trim(x.fact)), '\s+'), string_split_regex(lower(trim(y.fact)), '\s+'))")
+@query("bulk_edge_candidates", "entity_edge", r"SELECT x.uuid AS a, y.uuid AS b FROM entity_edge x JOIN entity_edge y USING (source_node_uuid, target_node_uuid) WHERE x.uuid < y.uuid AND list_has_any(string_split_regex(lower(trim(x.fact)), '\s+'), string_split_regex(lower(trim(y.fact)), '\s+'))")
 def bulk_edge_candidates(spark, sf):
     return resolve.fact_candidates(view(spark, sf, "entity_edge"))
 
