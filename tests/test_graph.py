@@ -228,10 +228,10 @@ def test_queries_over_all_entities_and_facts(spark):
     for a, b in pairs:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    assert {r.uuid: r.root for r in _all(spark, "connected_components_all")} == {x: find(x) for x in root}
+    assert {r.uuid: r.root for r in _all(spark, "connected_components")} == {x: find(x) for x in root}
     names = set(values(view(spark, sf, "entity"), "uuid"))
     customers = {x for x in names if x.startswith("c:")}
-    assert {r.uuid: r.root for r in _all(spark, "directed_uuid_map_all")} == dict.fromkeys(customers, "c:0")
+    assert {r.uuid: r.root for r in _all(spark, "directed_uuid_map")} == dict.fromkeys(customers, "c:0")
     assert {r.uuid for r in _all(spark, "resolve_nodes")} == {"x" + x for x in names}
 
 
@@ -247,7 +247,7 @@ def test_invalidation_within_a_key_equals_all_pairs(spark):
     again = facts.unionByName(facts)  # rows that repeat a uuid are not multiplied
     assert temporal.invalidate_within(again, "k", now).count() == 2 * len(rows)
     bought = view(spark, "/root/testdata/sf0.001", "entity_edge").filter("name = 'BOUGHT'")
-    assert {r.uuid for r in _all(spark, "invalidate_edges_all")} == set(values(bought, "uuid"))
+    assert {r.uuid for r in _all(spark, "invalidate_edges")} == set(values(bought, "uuid"))
 
 
 def test_queries_over_all_vectors_and_settled_labels(spark):
@@ -255,12 +255,12 @@ def test_queries_over_all_vectors_and_settled_labels(spark):
     rows = {r.uuid: (r.group_id, np.array(r.embedding, dtype=float)) for r in view(spark, sf, "vectors").collect()}
     cos = lambda a, b: float(rows[a][1] @ rows[b][1] / np.linalg.norm(rows[a][1]) / np.linalg.norm(rows[b][1]))
     best = sorted(rows, key=lambda u: (-cos("v:0", u), u))[:40]
-    assert {r.uuid for r in _all(spark, "mmr_rerank_all")} == set(best)
+    assert {r.uuid for r in _all(spark, "mmr_rerank")} == set(best)
     want = set()
     for p in (u for u in rows if int(u[2:]) % 50 == 0):
         near = [u for u in rows if rows[u][0] == rows[p][0] and cos(p, u) > 0]
         want |= {(p, u) for u in sorted(near, key=lambda u: (-cos(p, u), u))[:5]}
-    assert {(r.probe, r.uuid) for r in _all(spark, "relevant_nodes_all")} == want
+    assert {(r.probe, r.uuid) for r in _all(spark, "relevant_nodes")} == want
     chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", 2) for i in range(30)] + [(f"n{i + 1:02}", f"n{i:02}", 1) for i in range(30)], "n string, m string, weight long")
     nodes = spark.createDataFrame([(f"n{i:02}", "g") for i in range(31)], "uuid string, group_id string")
     checkpoints(spark)

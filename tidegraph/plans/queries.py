@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import community, filters, lookup, rerank, resolve, retrieve, temporal, traverse
+from ..operators import community, filters, ingestion, lookup, rerank, resolve, retrieve, temporal, traverse
 from ..operators.filters import SearchFilters
 from ..sources import store
 from ..sources.views import duck, view
@@ -107,18 +107,11 @@ def hybrid_rrf(spark, sf):
 @query(
     "relevant_nodes",
     "vectors",
-    f"""WITH p AS (SELECT uuid AS probe, group_id, embedding AS pe FROM vectors WHERE uuid IN ('v:1', 'v:2', 'v:3', 'v:4'))
+    f"""WITH p AS (SELECT uuid AS probe, group_id, embedding AS pe FROM vectors WHERE CAST(split_part(uuid, ':', 2) AS BIGINT) % 50 = 0)
 SELECT probe, uuid, round(c, 6) AS score, r AS rank FROM (SELECT probe, uuid, {COS.format('pe', 'embedding')} AS c, row_number() OVER (PARTITION BY probe ORDER BY {COS.format('pe', 'embedding')} DESC, uuid) AS r FROM p JOIN vectors USING (group_id) WHERE {COS.format('pe', 'embedding')} > 0.0) WHERE r <= 5""",
 )
 def relevant_nodes(spark, sf):
-    v = view(spark, sf, "vectors")
-    probes = v.filter(F.col("uuid").isin("v:1", "v:2", "v:3", "v:4")).select(F.col("uuid").alias("probe"), "group_id", F.col("embedding").alias("pe"))
-    return retrieve.per_probe(probes, v, ["group_id"], "pe", "embedding", 5, 0.0).select("probe", "uuid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
-
-
-@query("relevant_nodes_all")
-def relevant_nodes_all(spark, sf):
-    """Probes are all ids divisible by 50; relevant_nodes and its SQL search four."""
+    """Probes are all ids divisible by 50."""
     v = view(spark, sf, "vectors")
     probes = v.filter(F.split("uuid", ":")[1].cast("bigint") % 50 == 0).select(F.col("uuid").alias("probe"), "group_id", F.col("embedding").alias("pe"))
     return retrieve.per_probe(probes, v, ["group_id"], "pe", "embedding", 5, 0.0).select("probe", "uuid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
@@ -170,8 +163,8 @@ def edge_uuid_empty(spark, sf):
 
 @query("property_filter", "", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")
 def property_filter(spark, sf):
-    v = spark.read.parquet(f"{sf}/events.parquet").withColumn("k", F.try_variant_get(F.parse_json("props"), "$.k", "bigint"))
-    return v.filter("k >= 50").select("event_id", "k")
+    v = spark.read.parquet(f"{sf}/events.parquet").withColumn("attributes", F.from_json("props", "map<string, bigint>"))
+    return v.filter(SearchFilters(properties=[("k", ">=", F.lit(50))]).node()).select("event_id", F.col("attributes")["k"].alias("k"))
 
 
 @query("attribution_filter", "", "SELECT event_id FROM events WHERE list_has_any([event_type, 'u' || user_id], ['click', 'u7'])")
@@ -216,10 +209,10 @@ def communities_by_nodes(spark, sf):
     return lookup.across(members.select(F.col("source_node_uuid").alias("uuid")).distinct(), members, e.filter(F.col("uuid").isin("c:1", "c:2", "s:1")).select("uuid"), reverse=True)
 
 
-@query("edge_endpoint_join", "entity_edge entity", "SELECT x.uuid, s.name AS source_name, t.name AS target_name FROM entity_edge x JOIN entity s ON s.uuid = x.source_node_uuid JOIN entity t ON t.uuid = x.target_node_uuid WHERE x.name <> 'BOUGHT'")
+@query("edge_endpoint_join", "entity_edge entity", "SELECT x.uuid, s.name AS source_name, t.name AS target_name FROM entity_edge x JOIN entity s ON s.uuid = x.source_node_uuid JOIN entity t ON t.uuid = x.target_node_uuid")
 def endpoint_join(spark, sf):
     e = view(spark, sf, "entity").select("uuid", "name")
-    x = view(spark, sf, "entity_edge").filter("name <> 'BOUGHT'").select("uuid", "source_node_uuid", "target_node_uuid")
+    x = view(spark, sf, "entity_edge").select("uuid", "source_node_uuid", "target_node_uuid")
     s, t = (e.select(F.col("uuid").alias(f"{k}_node_uuid"), F.col("name").alias(f"{k}_name")) for k in ("source", "target"))
     return x.join(s, "source_node_uuid").join(t, "target_node_uuid").select("uuid", "source_name", "target_name")
 
@@ -266,18 +259,12 @@ def rrf_fusion(spark, sf):
 @query(
     "mmr_rerank",
     "vectors",
-    f"""WITH c AS (SELECT uuid, embedding FROM vectors WHERE group_id = 'l3' ORDER BY uuid LIMIT 20),
+    f"""WITH c AS MATERIALIZED (SELECT uuid, embedding FROM vectors ORDER BY {COS.format('embedding', Q0)} DESC, uuid LIMIT 40),
 m AS (SELECT a.uuid, max({COS.format('a.embedding', 'b.embedding')}) AS m FROM c a JOIN c b ON a.uuid <> b.uuid GROUP BY a.uuid)
 SELECT uuid, round(0.5 * list_inner_product(CAST(embedding AS DOUBLE[]), CAST({Q0} AS DOUBLE[])) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 0.5 * greatest(m, 0), 5) AS score FROM c JOIN m USING (uuid)""",
 )
 def mmr_rerank(spark, sf):
-    c = view(spark, sf, "vectors").filter("group_id = 'l3'").orderBy("uuid").limit(20)
-    return rerank.mmr(c, _q(spark, sf), 0.5, -1e9).select("uuid", F.round("score", 5).alias("score"))
-
-
-@query("mmr_rerank_all")
-def mmr_rerank_all(spark, sf):
-    """Candidates are the best 40 of all vectors, twice a limit of 20; mmr_rerank and its SQL take 20 ids of a group."""
+    """Candidates are the best 40 of all vectors, twice a limit of 20."""
     v, q = view(spark, sf, "vectors"), _q(spark, sf)
     c = v.join(retrieve.by_vector(v, q, "embedding", 40, -2.0).select("uuid"), "uuid", "left_semi")
     return rerank.mmr(c, q, 0.5, -1e9).select("uuid", F.round("score", 5).alias("score"))
@@ -306,9 +293,9 @@ def mentions_rerank(spark, sf):
     return rerank.episode_mentions(c, m).select("uuid", "score")
 
 
-@query("cross_encoder_rerank", "entity_edge", "SELECT uuid, round(len(list_intersect(['supplies', 'part', '7'], list_distinct(string_split(lower(fact), ' '))))::DOUBLE / 3, 6) AS score FROM entity_edge WHERE name = 'SUPPLIES'")
+@query("cross_encoder_rerank", "entity_edge", "SELECT uuid, round(len(list_intersect(['supplies', 'part', '7'], list_distinct(string_split(lower(fact), ' '))))::DOUBLE / 3, 6) AS score FROM entity_edge")
 def cross_encoder(spark, sf):
-    return rerank.cross_encoder(view(spark, sf, "entity_edge").filter("name = 'SUPPLIES'"), "supplies part 7", rerank.overlap_score).select("uuid", F.round("score", 6).alias("score"))
+    return rerank.cross_encoder(view(spark, sf, "entity_edge"), "supplies part 7", rerank.overlap_score).select("uuid", F.round("score", 6).alias("score"))
 
 
 # ---- traversal
@@ -341,18 +328,12 @@ def bfs_nodes(spark, sf):
 @query(
     "invalidate_edges",
     "entity_edge",
-    f"""WITH b AS (SELECT * FROM entity_edge WHERE name = 'BOUGHT' AND target_node_uuid LIKE 'p:1%'), p AS (SELECT o.uuid, min(n.valid_at) AS e FROM b o JOIN b n ON o.source_node_uuid = n.source_node_uuid AND o.uuid <> n.uuid
+    f"""WITH b AS (SELECT * FROM entity_edge WHERE name = 'BOUGHT'), p AS (SELECT o.uuid, min(n.valid_at) AS e FROM b o JOIN b n ON o.source_node_uuid = n.source_node_uuid AND o.uuid <> n.uuid
 WHERE NOT coalesce(o.invalid_at <= n.valid_at, false) AND NOT coalesce(n.invalid_at <= o.valid_at, false) AND o.valid_at < n.valid_at GROUP BY o.uuid)
 SELECT b.uuid, strftime(coalesce(e, b.invalid_at), '%Y-%m-%d %H:%M:%S') AS invalid_at, CASE WHEN e IS NOT NULL THEN '{DAY}' END AS expired_at FROM b LEFT JOIN p USING (uuid)""",
 )
 def invalidate(spark, sf):
-    b = view(spark, sf, "entity_edge").filter("name = 'BOUGHT' AND target_node_uuid LIKE 'p:1%'").withColumn("expired_at", F.lit(None).cast("timestamp_ntz"))
-    return temporal.invalidate_within(b, "source_node_uuid", F.lit(DAY).cast("timestamp_ntz")).select("uuid", _ts("invalid_at"), _ts("expired_at"))
-
-
-@query("invalidate_edges_all")
-def invalidate_all(spark, sf):
-    """Over all BOUGHT facts; invalidate_edges and its SQL keep to some parts."""
+    """Over all BOUGHT facts."""
     b = view(spark, sf, "entity_edge").filter("name = 'BOUGHT'").withColumn("expired_at", F.lit(None).cast("timestamp_ntz"))
     return temporal.invalidate_within(b, "source_node_uuid", F.lit(DAY).cast("timestamp_ntz")).select("uuid", _ts("invalid_at"), _ts("expired_at"))
 
@@ -367,21 +348,6 @@ def fact_dates(spark, sf):
     return view(spark, sf, "entity_edge").select("uuid", text.date_range("valid_at", "invalid_at").alias("range"))
 
 
-@query("invalidation_candidates", "entity_edge", "WITH p AS (SELECT * FROM entity_edge WHERE uuid IN ('b:1:1', 'b:2:1', 'lc:5')) SELECT DISTINCT p.uuid AS probe, x.uuid FROM p JOIN entity_edge x ON p.group_id = x.group_id AND (x.source_node_uuid IN (p.source_node_uuid, p.target_node_uuid) OR x.target_node_uuid IN (p.source_node_uuid, p.target_node_uuid))")
-def invalidation_candidates(spark, sf):
-    e = view(spark, sf, "entity_edge")
-    p = e.filter(F.col("uuid").isin("b:1:1", "b:2:1", "lc:5")).select(F.col("uuid").alias("probe"), "group_id", F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("end"))
-    x = e.select("uuid", "group_id", F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("end"))
-    return p.join(x, ["group_id", "end"]).select("probe", "uuid").distinct()
-
-
-@query("relevant_edges", "entity_edge", "WITH p AS (SELECT * FROM entity_edge WHERE uuid IN ('b:1:1', 'b:2:1', 'ir:5')) SELECT p.uuid AS probe, x.uuid FROM p JOIN entity_edge x ON p.group_id = x.group_id AND least(p.source_node_uuid, p.target_node_uuid) = least(x.source_node_uuid, x.target_node_uuid) AND greatest(p.source_node_uuid, p.target_node_uuid) = greatest(x.source_node_uuid, x.target_node_uuid)")
-def relevant_edges(spark, sf):
-    e = view(spark, sf, "entity_edge").select("uuid", "group_id", F.least("source_node_uuid", "target_node_uuid").alias("lo"), F.greatest("source_node_uuid", "target_node_uuid").alias("hi"))
-    p = e.filter(F.col("uuid").isin("b:1:1", "b:2:1", "ir:5")).withColumnRenamed("uuid", "probe")
-    return p.join(e, ["group_id", "lo", "hi"]).select("probe", "uuid")
-
-
 # ---- resolution
 
 
@@ -433,41 +399,22 @@ def resolve_nodes(spark, sf):
     return resolve.resolve(*_aliases(spark, sf))
 
 
-def _pairs(spark, sf) -> DataFrame:
-    from ..operators.util import checkpoints
-
-    checkpoints(spark)
-    return view(spark, sf, "entity_edge").filter("name IN ('SUPPLIES', 'IN_REGION')").select(F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b"))
-
-
-@query("connected_components", "entity_edge", """RECURSIVE WITH e AS (SELECT source_node_uuid AS a, target_node_uuid AS b FROM entity_edge WHERE name = 'IN_REGION'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS uuid, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.uuid)
-SELECT uuid, min(root) AS root FROM r GROUP BY uuid""")
+@query("connected_components")
 def connected_components(spark, sf):
-    return resolve.components(_pairs(spark, sf).filter("a LIKE 'n:%'"))
-
-
-@query("connected_components_all")
-def connected_components_all(spark, sf):
-    """Over all facts; connected_components and its SQL keep to nations and regions."""
+    """Over all facts; the recursion is too slow in SQL, tests compare with a loop."""
     from ..operators.util import checkpoints
 
     checkpoints(spark)
     return resolve.components(view(spark, sf, "entity_edge").select(F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b")))
 
 
-@query("directed_uuid_map", "entity", "SELECT uuid, 'c:0' AS root FROM entity WHERE uuid LIKE 'c:_' OR uuid LIKE 'c:1_'")
-def directed_uuid_map(spark, sf):
-    from ..operators.util import checkpoints
+_CHAINS = """WITH i AS (SELECT n, n - row_number() OVER (ORDER BY n) AS run FROM (SELECT DISTINCT c_custkey AS n FROM customer WHERE c_custkey <> 0)), r AS (SELECT n, min(n) OVER (PARTITION BY run) - 1 AS root FROM i)
+SELECT 'c:' || n AS uuid, 'c:' || root AS root FROM r UNION SELECT 'c:' || root, 'c:' || root FROM r"""
 
-    checkpoints(spark)
-    c = view(spark, sf, "entity").filter("uuid LIKE 'c:_' OR uuid LIKE 'c:1_'")
-    n = F.split("uuid", ":")[1].cast("int")
-    return resolve.directed_map(c.select(F.col("uuid").alias("a"), F.concat(F.lit("c:"), (n - 1).cast("string")).alias("b")).filter("a <> 'c:0'"))
 
-
-@query("directed_uuid_map_all")
-def directed_uuid_map_all(spark, sf):
-    """The chain over all customers; directed_uuid_map and its SQL keep to twenty."""
+@query("directed_uuid_map", "", _CHAINS)
+def directed_uuid_map(spark, sf):
+    """Each customer is the alias of the one numbered before it; a run of numbers leads to what precedes its first."""
     from ..operators.util import checkpoints
 
     checkpoints(spark)
@@ -476,10 +423,12 @@ def directed_uuid_map_all(spark, sf):
     return resolve.directed_map(c.select(F.col("uuid").alias("a"), F.concat(F.lit("c:"), (n - 1).cast("string")).alias("b")).filter("a <> 'c:0'"))
 
 
-@query("pointer_rewrite", "entity_edge", "SELECT uuid, CASE WHEN source_node_uuid LIKE 'c:1%' THEN 'c:0' ELSE source_node_uuid END AS source_node_uuid, target_node_uuid FROM entity_edge WHERE name = 'LOCATED_IN'")
+@query("pointer_rewrite", "entity_edge", "SELECT uuid, CASE WHEN source_node_uuid LIKE 'c:%' THEN 'c:' || (CAST(split_part(source_node_uuid, ':', 2) AS BIGINT) // 10) ELSE source_node_uuid END AS source_node_uuid, target_node_uuid FROM entity_edge")
 def pointer_rewrite(spark, sf):
-    roots = view(spark, sf, "entity").filter("uuid LIKE 'c:1%'").select("uuid", F.lit("c:0").alias("root"))
-    return resolve.rewrite(view(spark, sf, "entity_edge").filter("name = 'LOCATED_IN'"), roots).select("uuid", "source_node_uuid", "target_node_uuid")
+    """Ten customers become one, in all facts."""
+    c = view(spark, sf, "entity").filter(F.array_contains("labels", "Customer"))
+    roots = c.select("uuid", F.concat(F.lit("c:"), F.expr("CAST(split_part(uuid, ':', 2) AS BIGINT) div 10")).alias("root"))
+    return resolve.rewrite(view(spark, sf, "entity_edge"), roots).select("uuid", "source_node_uuid", "target_node_uuid")
 
 
 # ---- communities, aggregates, sinks
@@ -495,7 +444,7 @@ def _round_sql(k: int) -> str:
 l{k} AS (SELECT l.uuid, CASE WHEN b.uuid IS NULL THEN l.label WHEN b.s > 1 THEN b.label ELSE greatest(b.label, l.label) END AS label FROM l{k - 1} l LEFT JOIN b{k} b USING (uuid))"""
 
 
-_LP = "WITH g AS (SELECT n, m, count(*) AS weight FROM (SELECT source_node_uuid AS n, target_node_uuid AS m FROM entity_edge WHERE name = 'BOUGHT' UNION ALL SELECT target_node_uuid, source_node_uuid FROM entity_edge WHERE name = 'BOUGHT') GROUP BY n, m), l0 AS (SELECT uuid, row_number() OVER (PARTITION BY group_id ORDER BY uuid DESC) - 1 AS label FROM entity)"
+_LP = "WITH g AS (SELECT n, m, count(*) AS weight FROM (SELECT source_node_uuid AS n, target_node_uuid AS m FROM entity_edge UNION ALL SELECT target_node_uuid, source_node_uuid FROM entity_edge WHERE source_node_uuid <> target_node_uuid) GROUP BY n, m), l0 AS (SELECT uuid, row_number() OVER (PARTITION BY group_id ORDER BY uuid DESC) - 1 AS label FROM entity)"
 
 
 @query("label_propagation_2_rounds", "entity entity_edge", _LP + ", " + ", ".join(map(_round_sql, (1, 2))) + " SELECT uuid, label::BIGINT AS label FROM l2")
@@ -503,22 +452,22 @@ def label_propagation(spark, sf):
     from ..operators.util import checkpoints
 
     checkpoints(spark)
-    return community.propagate(view(spark, sf, "entity"), community.projection(view(spark, sf, "entity_edge").filter("name = 'BOUGHT'")), 2)
+    return community.propagate(view(spark, sf, "entity"), community.projection(view(spark, sf, "entity_edge")), 2)
 
 
 @query("label_propagation_all")
 def label_propagation_all(spark, sf):
-    """Over all facts until the labels settle; label_propagation_2_rounds and its SQL stop after two on BOUGHT facts."""
+    """Over all facts until the labels settle; label_propagation_2_rounds, which SQL can express, stops after two."""
     from ..operators.util import checkpoints
 
     checkpoints(spark)
     return community.propagate(view(spark, sf, "entity"), community.projection(view(spark, sf, "entity_edge")), None)
 
 
-@query("entity_community_mode", "entity entity_edge", "WITH m AS (SELECT 'k:' || group_id AS c, uuid FROM entity WHERE uuid LIKE 'n:%'), v AS (SELECT DISTINCT n, mm FROM (SELECT source_node_uuid AS n, target_node_uuid AS mm FROM entity_edge WHERE name = 'LOCATED_IN' UNION ALL SELECT target_node_uuid, source_node_uuid FROM entity_edge WHERE name = 'LOCATED_IN')), k AS (SELECT n AS uuid, c, count(*) AS k FROM v JOIN m ON m.uuid = v.mm GROUP BY n, c) SELECT uuid, c AS community, false AS is_new FROM m UNION ALL SELECT uuid, c, true FROM k WHERE uuid NOT IN (SELECT uuid FROM m) QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY k DESC, c) = 1")
+@query("entity_community_mode", "entity entity_edge", "WITH m AS (SELECT 'k:' || group_id AS c, uuid FROM entity WHERE list_contains(labels, 'Place')), v AS (SELECT DISTINCT n, mm FROM (SELECT source_node_uuid AS n, target_node_uuid AS mm FROM entity_edge UNION ALL SELECT target_node_uuid, source_node_uuid FROM entity_edge)), k AS (SELECT n AS uuid, c, count(*) AS k FROM v JOIN m ON m.uuid = v.mm GROUP BY n, c) SELECT uuid, c AS community, false AS is_new FROM m UNION ALL SELECT uuid, c, true FROM k WHERE uuid NOT IN (SELECT uuid FROM m) QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY k DESC, c) = 1")
 def entity_community(spark, sf):
-    members = view(spark, sf, "entity").filter("uuid LIKE 'n:%'").select(F.concat(F.lit("k:"), "group_id").alias("source_node_uuid"), F.col("uuid").alias("target_node_uuid"))
-    return community.of_entities(members, community.projection(view(spark, sf, "entity_edge").filter("name = 'LOCATED_IN'")))
+    members = view(spark, sf, "entity").filter(F.array_contains("labels", "Place")).select(F.concat(F.lit("k:"), "group_id").alias("source_node_uuid"), F.col("uuid").alias("target_node_uuid"))
+    return community.of_entities(members, community.projection(view(spark, sf, "entity_edge")))
 
 
 @query("graph_overview", "entity_edge", "WITH d AS (SELECT uuid, count(*) AS degree FROM (SELECT source_node_uuid AS uuid FROM entity_edge UNION ALL SELECT target_node_uuid FROM entity_edge) GROUP BY uuid ORDER BY degree DESC, uuid LIMIT 400) SELECT x.uuid, (s.degree + t.degree)::BIGINT AS weight FROM entity_edge x JOIN d s ON s.uuid = x.source_node_uuid JOIN d t ON t.uuid = x.target_node_uuid ORDER BY weight DESC, x.uuid LIMIT 40")
@@ -526,15 +475,17 @@ def graph_overview(spark, sf):
     return lookup.overview(view(spark, sf, "entity_edge"), 400, 40)[1].select("uuid", "weight")
 
 
-@query("facts_per_node", "entity_edge", "SELECT node, string_agg(fact, chr(10) ORDER BY uuid) AS facts FROM (SELECT source_node_uuid AS node, uuid, fact FROM entity_edge WHERE name = 'IN_REGION' UNION ALL SELECT target_node_uuid, uuid, fact FROM entity_edge WHERE name = 'IN_REGION') GROUP BY node")
+@query("facts_per_node", "entity_edge", "SELECT node, string_agg(fact, chr(10) ORDER BY uuid, fact) AS facts FROM (SELECT source_node_uuid AS node, uuid, fact FROM entity_edge UNION ALL SELECT target_node_uuid, uuid, fact FROM entity_edge) GROUP BY node")
 def facts_per_node(spark, sf):
-    return lookup.facts_of(view(spark, sf, "entity_edge").filter("name = 'IN_REGION'"))
+    return lookup.facts_of(view(spark, sf, "entity_edge"))
 
 
-@query("remove_episode", "entity_edge", "SELECT uuid FROM entity_edge WHERE episode <> 'ord:1'")
+@query("remove_episode", "entity_edge", "SELECT uuid FROM entity_edge WHERE uuid NOT IN (SELECT uuid FROM entity_edge WHERE episode = 'ord:1')")
 def remove_episode(spark, sf):
     e = view(spark, sf, "entity_edge").withColumn("episodes", F.array("episode"))
-    return e.filter(F.get("episodes", F.lit(0)) != "ord:1").select("uuid")
+    m = e.select(F.col("episode").alias("source_node_uuid"), F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("target_node_uuid"))
+    _, gone = ingestion.removed_episode("ord:1", e.select(F.col("episode").alias("uuid")).distinct(), m, e)
+    return e.join(gone, "uuid", "left_anti").select("uuid")
 
 
 @query("detach_delete", "entity_edge", "SELECT uuid FROM entity_edge WHERE source_node_uuid NOT LIKE 'c:1%' AND target_node_uuid NOT LIKE 'c:1%'")
@@ -609,10 +560,12 @@ def covering_chunks(spark, sf):
 
 @query("context_string")
 def context_string(spark, sf):
+    """The best 20 facts and entities of a search as one prompt."""
     from .search import context
 
-    e = view(spark, sf, "entity").filter("uuid LIKE 'r:%'")
-    return context(view(spark, sf, "entity_edge").filter("name = 'IN_REGION'"), e)
+    e, n = view(spark, sf, "entity_edge"), view(spark, sf, "entity")
+    facts, nodes = (retrieve.bm25(d, c, "blue bolt", 20).select("uuid") for d, c in ((e, ("name", "fact")), (n, ("name", "summary"))))
+    return context(e.join(F.broadcast(facts), "uuid", "left_semi"), n.join(F.broadcast(nodes), "uuid", "left_semi"))
 
 
 @query("event_microbatches", "", "SELECT 'u' || user_id AS group_id, count(*)::BIGINT AS n FROM events GROUP BY ALL")
