@@ -512,6 +512,51 @@ def test_language_model(spark, awkward, empty):
     assert lm.score(awkward, lm.train(awkward)).count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_orders(spark, awkward, empty, order):
+    """Each order against counts in plain loops, from definitions alone."""
+    rng = random.Random(order)
+    docs = {i: " ".join(rng.choice("a b c d The".split()) if rng.random() < 0.8 else f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 40))) for i in range(60)}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    model = lm.train(d.filter("doc_id < 40"), order=order)
+    marked = lambda t: ["<s>"] * (order - 1) + t.lower().split() + [None]
+    counts = {order: Counter()}
+    for i, t in docs.items():
+        w = marked(t)
+        if i < 40:
+            counts[order].update(tuple(w[j : j + order]) for j in range(len(w) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discounts = {n: lm._discounts([sum(c == k for c in counts[n].values()) for k in (1, 2, 3, 4)]) for n in counts}
+    v = len(counts[1])
+
+    def prob(gram):
+        if not gram:
+            return 1 / (v + 1)
+        n = len(gram)
+        after = [c for g, c in counts[n].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return prob(gram[1:])
+        c, dd = counts[n][gram], discounts[n]
+        off = lambda x: dd[min(x, 3) - 1] if x else 0.0
+        return (c - off(c) + sum(map(off, after)) * prob(gram[1:])) / sum(after)
+
+    memo = {}
+    for r in lm.score(d, model).collect():
+        w, want = marked(docs[r.doc_id]), 0.0
+        for j in range(len(w) - order + 1):
+            g = tuple(w[j : j + order])
+            memo[g] = memo.get(g) or math.log10(prob(g))
+            want += memo[g]
+        assert r.score == pytest.approx(want)
+    context = ("<s>",) * (order - 2) + ("a",)
+    assert sum(prob((*context, *y)) for y in counts[1]) + prob((*context, "unseen")) == pytest.approx(1)
+    assert lm.score(awkward, model).filter("score IS NULL OR isnan(score)").count() == 0
+    assert lm.score(d.limit(3), lm.train(empty, order=order)).filter("train_tokens = 0").count() == 3
+    with pytest.raises(ValueError):
+        lm.train(d, order=1)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/é b", "<p>x</p>" * 20), (2, None, "<p>x</p>" * 20), (None, "u", "<p>x</p>" * 20), (3, "u\r\nX: y", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "é" * 50_000), (7, "u", "é" * 50_000), (8, "u", "line\r\n\r\nline" * 20)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))

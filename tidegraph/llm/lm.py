@@ -1,26 +1,27 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and stored as sorted hash arrays.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and stored as sorted hash arrays.
 
 Words are 63-bit hashes; a word's number is its place among the sorted hashes, so a bigram is one 64-bit key of two
-numbers. Workers pre-aggregate keys in chunks; one exchange deals them by ranges of the key that hold equal shares of
+numbers and a longer n-gram a 63-bit hash of its words' numbers. Workers pre-aggregate keys in chunks; one exchange deals them by ranges of the key that hold equal shares of
 the tokens, tasks sort and sum them and write arrays into the shared folder. Scorers map these files into memory and
 look up each batch's distinct keys in sorted order. The driver sees one row a file, never a key.
 
-The order is two: counts of longer n-grams, nearly all distinct, would take more disk than four times the input.
+The order is a parameter of two or more. Texts begin with order - 1 marks; the longest n-grams are counted as they come, each
+shorter one by the kinds of words before it. Longer n-grams are nearly all distinct, so arrays grow with the order.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import mix, runs
+from .hashing import ODD, mix, runs
 from .util import fresh_path, parts
 
 CHUNK_TOKENS = 2_000_000
@@ -119,18 +120,20 @@ def _local(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their rows of values."""
+def _summed(keys: np.ndarray, values: np.ndarray, fixed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their rows of values; the last `fixed` columns follow from the key and are kept."""
     if not len(keys):
         return keys, values
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[at], np.add.reduceat(values, at, axis=0)
+    sums = values.shape[1] - fixed
+    return keys[at], np.concatenate((np.add.reduceat(values[:, :sums], at, axis=0), values[at, sums:]), axis=1)
 
 
-def write_shards(parts: DataFrame, shards: int, spark_path: str, columns: tuple[str, ...], running: bool = False) -> Shards:
-    """Rows (pid, key, *columns) summed by key into `shards` sorted files; pid must not fall as the key grows."""
+def write_shards(parts: DataFrame, shards: int, spark_path: str, columns: tuple[str, ...], running: bool = False, fixed: int = 0) -> Shards:
+    """Rows (pid, key, *columns) summed by key, but for the last `fixed` columns, into `shards` sorted files; pid must not
+    fall as the key grows."""
     folder = _local(spark_path)
     dealt = parts.repartitionById(shards, F.col("pid")).sortWithinPartitions("key")
 
@@ -146,7 +149,7 @@ def write_shards(parts: DataFrame, shards: int, spark_path: str, columns: tuple[
                 v = np.stack([batch.column(2 + i).to_numpy() for i in range(len(columns))], axis=1)
                 if kept:
                     k, v = np.concatenate((kept[0], k)), np.concatenate((kept[1], v))
-                k, v = _summed(k, v)
+                k, v = _summed(k, v, fixed)
                 if not len(k):
                     continue
                 kept, k, v = (k[-1:], v[-1:]), k[:-1], v[:-1]  # the last key may go on
@@ -195,9 +198,80 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
+def _windows(ids: np.ndarray, sizes: np.ndarray, begin: int, order: int) -> np.ndarray:
+    """A row a token: the order - 1 words before it in its text, marks where the text begins, and the word itself."""
+    at = np.arange(len(ids)) + (order - 1) * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded = np.full(len(ids) + (order - 1) * len(sizes), begin, dtype=np.int64)
+    padded[at] = ids
+    return np.stack([padded[at - back] for back in range(order - 1, -1, -1)], axis=1)
+
+
+def _keys(words: np.ndarray) -> np.ndarray:
+    """One key for each row of words' numbers: of two words both numbers, of more a 63-bit hash; -1 where a word is unknown."""
+    out = (words[:, 0] << 32) | words[:, 1]
+    if words.shape[1] > 2:
+        h = out.astype(np.uint64)
+        for c in range(2, words.shape[1]):
+            h = mix(h * ODD + words[:, c].astype(np.uint64) + np.uint64(1))
+        out = (h >> np.uint64(1)).astype(np.int64)
+    return np.where((words < 0).any(axis=1), -1, out)
+
+
+def _packed(words: np.ndarray) -> np.ndarray:
+    """Words' numbers, two to a column."""
+    if words.shape[1] % 2:
+        words = np.concatenate((words, np.zeros((len(words), 1), np.int64)), axis=1)
+    return (words[:, 0::2] << 32) | words[:, 1::2]
+
+
+def _unpacked(packed: np.ndarray, n: int) -> np.ndarray:
+    return np.stack((packed >> 32, packed & 0xFFFFFFFF), axis=2).reshape(len(packed), -1)[:, :n]
+
+
+def _share(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of keys that are hashes of 63 bits."""
+    return (keys.astype(np.float64) / 2.0**63 * shards).astype(np.int64).clip(0, shards - 1)
+
+
+FOLLOWERS = ("total", "one", "two", "more")  # of a context: the sum of counts after it, and words by their count
+
+
+def _followers(n: np.ndarray) -> np.ndarray:
+    return np.stack((n, n == 1, n == 2, n > 2), axis=1).astype(np.int64)
+
+
+def _types(columns: tuple[str, ...]) -> str:
+    return "pid int, key bigint, " + ", ".join(f"{c} bigint" for c in columns)
+
+
+def _each(shards: Shards, *, of: tuple[str, ...]) -> Iterator:
+    """A function over batches of shard numbers that yields their arrays of these columns, CHUNK_TOKENS rows at a time."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        opened = shards.open()
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                if s < len(shards.files):
+                    m = opened.shard(s)
+                    for lo in range(0, len(m["key"]), CHUNK_TOKENS):
+                        yield [np.asarray(m[c][lo : lo + CHUNK_TOKENS]) for c in of]
+
+    return read
+
+
+@dataclass
+class Level:
+    """N-grams of three words or more: their counts, the followers of their contexts, and the discounts."""
+
+    grams: Shards
+    stats: Shards
+    discounts: tuple[float, float, float]
+
+
 @dataclass
 class Model:
-    """Word hashes and counts, bigram keys and counts, and per word: total and kinds of followers, kinds of predecessors."""
+    """Word hashes and counts, bigram keys and counts, and per word: total and kinds of followers, kinds of predecessors;
+    then a level for each longer order, from three words on."""
 
     words: Shards
     pairs: Shards
@@ -207,6 +281,7 @@ class Model:
     documents: int
     discounts: tuple[tuple[float, float, float], tuple[float, float, float]]
     kinds: tuple[int, int, int]  # words that follow one, two, more kinds of words
+    higher: list[Level]
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -219,8 +294,10 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(i + 1)) for i, d in enumerate(out))
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Counts all rows of docs; null texts count as empty, repeated rows as often as they come."""
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Counts all rows of docs; null texts count as empty, repeated rows as often as they come. An order below two is an error."""
+    if order < 2:
+        raise ValueError(f"order {order}; the least is 2")
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{text}`").alias("text"))
     size = d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -230,7 +307,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             k, n = np.unique(np.concatenate(chunk), return_counts=True)
-            yield from _rows((k.astype(np.float64) / 2.0**63 * shards).astype(np.int64).clip(0, shards - 1), k, n[:, None], ("n",))
+            yield from _rows(_share(k, shards), k, n[:, None], ("n",))
 
     words = write_shards(d.mapInArrow(count_words, "pid int, key bigint, n bigint"), shards, f"{root}/words", ("n",), running=True)
     distinct = words.rows()
@@ -238,48 +315,90 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         raise ValueError(f"{distinct} distinct words; pairs of the numbers of {MOST_WORDS} fit into one key")
     begin = distinct  # the number that stands before a text's first word
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(known: Mapped, keys: np.ndarray, length: int) -> np.ndarray:
+        return _shard(keys, known, shards, begin) if length == 2 else _share(keys, shards)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.open()
         for chunk in _chunks(batches):
             ids, _ = known.find(np.concatenate(chunk))
-            first = np.cumsum([0] + [len(c) for c in chunk[:-1]])
-            before = np.concatenate(([begin], ids[:-1]))
-            before[first] = begin
-            k, n = np.unique((before << 32) | ids, return_counts=True)
-            yield from _rows(_shard(k, known, shards, begin), k, n[:, None], ("n",))
-
-    pairs = write_shards(d.mapInArrow(count_pairs, "pid int, key bigint, n bigint"), shards, f"{root}/pairs", ("n",))
-    names = ("total", "one", "two", "more", "before")
+            w = _windows(ids, np.array([len(c) for c in chunk]), begin, order)
+            k, at, n = np.unique(_keys(w), return_index=True, return_counts=True)
+            yield from _rows(dealt(known, k, order), k, np.concatenate((n[:, None], _of(w[at])), axis=1), _columns(order))
+
+    grams = write_shards(d.mapInArrow(count, _types(_columns(order))), shards, f"{root}/grams-{order}", _columns(order), fixed=len(_columns(order)) - 1)
+    levels: list[tuple[Shards, Shards]] = []
+    for length in range(order, 2, -1):
+        each = _numbers(spark, grams)
+        read = _each(grams, of=_columns(length))
+
+        def contexts(batches: Iterator[pa.RecordBatch], read=read, length=length) -> Iterator[pa.RecordBatch]:
+            known = words.open()
+            for n, *packed in read(batches):
+                k, v = _summed(_keys(_unpacked(np.stack(packed, axis=1), length)[:, :-1]), _followers(n))
+                yield from _rows(dealt(known, k, length - 1), k, v, FOLLOWERS)
+
+        def shorter(batches: Iterator[pa.RecordBatch], read=read, length=length) -> Iterator[pa.RecordBatch]:
+            known = words.open()
+            for _, *packed in read(batches):
+                w = _unpacked(np.stack(packed, axis=1), length)[:, 1:]
+                k, at, n = np.unique(_keys(w), return_index=True, return_counts=True)
+                yield from _rows(dealt(known, k, length - 1), k, np.concatenate((n[:, None], _of(w[at])), axis=1), _columns(length - 1))
+
+        stats = write_shards(each.mapInArrow(contexts, _types(FOLLOWERS)), shards, f"{root}/followers-{length}", FOLLOWERS)
+        less = _columns(length - 1)
+        below = write_shards(each.mapInArrow(shorter, _types(less)), shards, f"{root}/grams-{length - 1}", less, fixed=len(less) - 1)
+        levels.insert(0, (replace(grams, columns=("n",)), stats))
+        grams = below
+    pairs = grams
+    names = (*FOLLOWERS, "before")
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = pairs.open()
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                if s < len(pairs.files):
-                    m = opened.shard(s)
-                    for lo in range(0, len(m["key"]), CHUNK_TOKENS):
-                        k, n = np.asarray(m["key"][lo : lo + CHUNK_TOKENS]), np.asarray(m["n"][lo : lo + CHUNK_TOKENS])
-                        zero = np.zeros_like(n)
-                        a = _summed(k >> 32, np.stack((n, n == 1, n == 2, n > 2, zero), axis=1).astype(np.int64))
-                        b = _summed(k & 0xFFFFFFFF, np.stack((zero, zero, zero, zero, np.ones_like(n)), axis=1))
-                        key, v = _summed(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])))
-                        yield from _rows(key * shards // (distinct + 1), key, v, names)
-
-    each = spark.range(0, max(1, len(pairs.files)), 1, max(1, len(pairs.files)))
-    stats = write_shards(each.mapInArrow(kinds, "pid int, key bigint, " + ", ".join(f"{c} bigint" for c in names)), shards, f"{root}/stats", names)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, q = pairs.open(), stats.open()
+        for k, n in _each(pairs, of=("key", "n"))(batches):
+            zero = np.zeros((len(n), 1), np.int64)
+            a = _summed(k >> 32, np.concatenate((_followers(n), zero), axis=1))
+            b = _summed(k & 0xFFFFFFFF, np.concatenate((np.repeat(zero, 4, axis=1), zero + 1), axis=1))
+            key, v = _summed(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])))
+            yield from _rows(key * shards // (distinct + 1), key, v, names)
+
+    stats = write_shards(_numbers(spark, pairs).mapInArrow(kinds, _types(names)), shards, f"{root}/stats", names)
+    (of_pairs, of_words, *more) = _tally(spark, [(pairs, "n"), (stats, "before"), *((g, "n") for g, _ in levels)])
+    higher = [Level(g, f, _discounts(t[:4])) for (g, f), t in zip(levels, more)]
+    return Model(words, pairs, stats, sum(f[3] for f in words.files), distinct, size[0], (_discounts(of_pairs[:4]), _discounts(of_words[:4])), (of_words[0], of_words[1], of_words[4]), higher)
+
+
+def _columns(length: int) -> tuple[str, ...]:
+    """The count of an n-gram and, of three words or more, its words' numbers."""
+    return ("n", *[f"w{i}" for i in range((length + 1) // 2)]) if length > 2 else ("n",)
+
+
+def _of(words: np.ndarray) -> np.ndarray:
+    return _packed(words) if words.shape[1] > 2 else np.zeros((len(words), 0), np.int64)
+
+
+def _numbers(spark: SparkSession, *arrays: Shards) -> DataFrame:
+    """The numbers of the shards, one to a task."""
+    most = max(1, *[len(a.files) for a in arrays])
+    return spark.range(0, most, 1, most)
+
+
+def _tally(spark: SparkSession, arrays: list[tuple[Shards, str]]) -> list[list[int]]:
+    """Of each array's column how many values are one, two, three, four, and more than two."""
+    names = [f"c{i}" for i in range(5 * len(arrays))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = [(a.open(), len(a.files), c) for a, c in arrays]
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                n = np.asarray(p.shard(s)["n"]) if s < len(pairs.files) else np.zeros(0, np.int64)
-                c = np.asarray(q.shard(s)["before"]) if s < len(stats.files) else np.zeros(0, np.int64)
-                row = [(n == i).sum() for i in (1, 2, 3, 4)] + [(c == i).sum() for i in (1, 2, 3, 4)] + [(c > 2).sum()]
-                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in row], names=[f"c{i}" for i in range(9)])
+                row = []
+                for m, files, c in opened:
+                    n = np.asarray(m.shard(s)[c]) if s < files else np.zeros(0, np.int64)
+                    row += [(n == i).sum() for i in (1, 2, 3, 4)] + [(n > 2).sum()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in row], names=names)
 
-    most = max(1, len(pairs.files), len(stats.files))
-    sums = spark.range(0, most, 1, most).mapInArrow(tally, ", ".join(f"c{i} bigint" for i in range(9))).agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(9)]).first()
-    return Model(words, pairs, stats, sum(f[3] for f in words.files), distinct, size[0], (_discounts(sums[0:4]), _discounts(sums[4:8])), (int(sums[4]), int(sums[5]), int(sums[8])))
+    rows = _numbers(spark, *[a for a, _ in arrays]).mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    sums = [int(x) for x in rows.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()]
+    return [sums[i : i + 5] for i in range(0, len(sums), 5)]
 
 
 def _shard(keys: np.ndarray, known: Mapped, shards: int, begin: int) -> np.ndarray:
@@ -309,20 +428,24 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, stats = model.words.open(), model.pairs.open(), model.stats.open()
+        higher = [(level.grams.open(), level.stats.open(), level.discounts) for level in model.higher]
         left = (e1 * model.kinds[0] + e2 * model.kinds[1] + e3 * model.kinds[2]) / max(1, sum_kinds) if sum_kinds else 1.0
         for batch in parts(batches, len(own)):
             texts = [tokens(t) for t in batch.column(len(own)).to_pylist()]
             sizes = np.array([len(t) for t in texts])
             first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             ids, (c,) = words.find(np.concatenate(texts))
-            before = np.concatenate(([v], ids[:-1]))
-            before[first] = v
-            both = (before >= 0) & (ids >= 0)
-            _, (n,) = pairs.find(np.where(both, (before << 32) | ids, -1))
+            w = _windows(ids, sizes, v, len(higher) + 2)
+            before = w[:, -2]
+            _, (n,) = pairs.find(_keys(w[:, -2:]))
             _, (total, one, two, more, _) = stats.find(before)
             _, (_, _, _, _, kinds_before) = stats.find(ids)
             low = less(kinds_before, e1, e2, e3) / max(1, sum_kinds) + left / (v + 1)
             p = np.where(total > 0, less(n, d1, d2, d3) / np.maximum(1, total) + (d1 * one + d2 * two + d3 * more) / np.maximum(1, total) * low, low)
+            for length, (grams, after, (f1, f2, f3)) in enumerate(higher, 3):
+                _, (n,) = grams.find(_keys(w[:, -length:]))
+                _, (total, one, two, more) = after.find(_keys(w[:, -length:-1]))
+                p = np.where(total > 0, less(n, f1, f2, f3) / np.maximum(1, total) + (f1 * one + f2 * two + f3 * more) / np.maximum(1, total) * p, p)
             base = np.log10((c + 0.5) / (model.train_tokens + 0.5 * (v + 1)))
             cols = {name: batch.column(k) for k, name in enumerate(own)}
             yield pa.RecordBatch.from_pydict(cols | {
