@@ -214,7 +214,11 @@ def _keys(words: np.ndarray) -> np.ndarray:
         for c in range(2, words.shape[1]):
             h = mix(h * ODD + words[:, c].astype(np.uint64) + np.uint64(1))
         out = (h >> np.uint64(1)).astype(np.int64)
-    return np.where((words < 0).any(axis=1), -1, out)
+    unknown = words[:, 0] < 0
+    for c in range(1, words.shape[1]):
+        unknown |= words[:, c] < 0
+    out[unknown] = -1
+    return out
 
 
 def _packed(words: np.ndarray) -> np.ndarray:
@@ -323,8 +327,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         for chunk in _chunks(batches):
             ids, _ = known.find(np.concatenate(chunk))
             w = _windows(ids, np.array([len(c) for c in chunk]), begin, order)
-            k, at, n = np.unique(_keys(w), return_index=True, return_counts=True)
-            yield from _rows(dealt(known, k, order), k, np.concatenate((n[:, None], _of(w[at])), axis=1), _columns(order))
+            k, v = _distinct(w)
+            yield from _rows(dealt(known, k, order), k, v, _columns(order))
 
     grams = write_shards(d.mapInArrow(count, _types(_columns(order))), shards, f"{root}/grams-{order}", _columns(order), fixed=len(_columns(order)) - 1)
     levels: list[tuple[Shards, Shards]] = []
@@ -341,9 +345,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         def shorter(batches: Iterator[pa.RecordBatch], read=read, length=length) -> Iterator[pa.RecordBatch]:
             known = words.open()
             for _, *packed in read(batches):
-                w = _unpacked(np.stack(packed, axis=1), length)[:, 1:]
-                k, at, n = np.unique(_keys(w), return_index=True, return_counts=True)
-                yield from _rows(dealt(known, k, length - 1), k, np.concatenate((n[:, None], _of(w[at])), axis=1), _columns(length - 1))
+                k, v = _distinct(_unpacked(np.stack(packed, axis=1), length)[:, 1:])
+                yield from _rows(dealt(known, k, length - 1), k, v, _columns(length - 1))
 
         stats = write_shards(each.mapInArrow(contexts, _types(FOLLOWERS)), shards, f"{root}/followers-{length}", FOLLOWERS)
         less = _columns(length - 1)
@@ -372,8 +375,13 @@ def _columns(length: int) -> tuple[str, ...]:
     return ("n", *[f"w{i}" for i in range((length + 1) // 2)]) if length > 2 else ("n",)
 
 
-def _of(words: np.ndarray) -> np.ndarray:
-    return _packed(words) if words.shape[1] > 2 else np.zeros((len(words), 0), np.int64)
+def _distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their values by _columns."""
+    if words.shape[1] == 2:  # the words are in the key
+        k, n = np.unique(_keys(words), return_counts=True)
+        return k, n[:, None]
+    k, at, n = np.unique(_keys(words), return_index=True, return_counts=True)
+    return k, np.concatenate((n[:, None], _packed(words[at])), axis=1)
 
 
 def _numbers(spark: SparkSession, *arrays: Shards) -> DataFrame:
