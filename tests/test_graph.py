@@ -84,6 +84,25 @@ def test_resolution(spark):
     assert got == {"a": "k1", "b": None, "c": "k1", "d": None, "e": "k4"}
 
 
+def test_candidates_by_bands(spark):
+    """Buckets give the pairs that loops over all signatures give, and no more."""
+    rng = random.Random(3)
+    rows = [(str(i), f"{rng.choice(['Blue', 'Green'])} {rng.choice(['River', 'Rivers', 'Lake'])} {rng.choice(['Trading', 'Traders'])} {rng.randint(0, 9)}") for i in range(60)]
+    rows += [("n", None), ("e", ""), ("p", "?!"), rows[0]]
+    d = spark.createDataFrame(rows, "uuid string, name string")
+    names, known = d.filter("uuid < '3' OR uuid >= 'a'"), d.filter("uuid >= '2'")
+    signed = lambda x: {r.uuid: r.m for r in x.select("uuid", text.shingles(text.fuzzy("name")).alias("s")).filter("size(s) > 0").select("uuid", text.minhash("s").alias("m")).collect()}
+    a, b = signed(names), signed(known)
+    want = {(x, y) for x, s in a.items() for y, t in b.items() if any(s[i : i + 4] == t[i : i + 4] for i in range(0, 32, 4))}
+    got = resolve.lsh_candidates(names, known).collect()
+    sides = {k: {} for k in ("name", "known")}
+    for r in got:
+        sides[r.side].setdefault((r.band, r.key), set()).add(r.uuid)
+    assert len(got) == len(set(got)) and set(sides["name"]) == set(sides["known"])
+    assert {(x, y) for k, xs in sides["name"].items() for x in xs for y in sides["known"][k]} == want and 0 < len(want) < len(a) * len(b)
+    assert resolve.lsh_candidates(names.limit(0), known).count() == 0
+
+
 def test_components_and_map(spark):
     checkpoints(spark)
     pairs = lambda rows: spark.createDataFrame(rows, "a string, b string")

@@ -12,6 +12,10 @@ def test_batch_and_triplets(spark):
     checkpoints(spark)
     n = spark.createDataFrame([("1", "Joe Michaels"), ("2", "joe  michaels"), ("3", "Joe-Michaels"), ("4", "Somebody Else")], "uuid string, name string")
     assert {r.uuid: r.root for r in ingestion.dedupe_batch(n).collect()} == {"1": "1", "2": "1", "3": "1", "4": "4"}
+    near = [("7", "Northern Lights Observatory"), ("6", "Northern Lights Observatory!"), ("5", "Northern Lights Observatoryy"), ("8", "Southern Lights Observatory"), ("9", None)]
+    near += [("x", "Bo"), ("y", "Bo.")]  # equal in loose form, but neither is telling
+    got = {r.uuid: r.root for r in ingestion.dedupe_batch(spark.createDataFrame(near, "uuid string, name string")).collect()}
+    assert got == {"5": "5", "6": "5", "7": "5", "8": "8", "9": "9", "x": "x", "y": "y"}
     schema = "uuid string, attributes map<string,string>, labels array<string>, summary string"
     stored = spark.createDataFrame([("a", {"age": "30", "city": "New York"}, ["Entity", "Person"], "old")], schema)
     given = spark.createDataFrame([("a", {"age": "31", "department": "Engineering"}, ["Person", "Employee"], "new")], schema)

@@ -14,13 +14,18 @@ from . import resolve, temporal
 
 
 def dedupe_batch(names: DataFrame) -> DataFrame:
-    """(uuid, root): names of one batch resolved among themselves, chains compressed to their least uuid."""
+    """(uuid, root): names of one batch resolved among themselves, chains compressed to their least uuid.
+
+    Telling names that are equal in loose form hang on their least uuid, and only loose forms are compared with each other.
+    """
     key = text.normalised("name")
     first = names.groupBy(key.alias("k")).agg(F.min("uuid").alias("b"))
     exact = names.select(F.col("uuid").alias("a"), key.alias("k")).join(first, "k").filter("a <> b").select("a", "b")
-    a, b = (names.select(F.col("uuid").alias(x), text.shingles(text.fuzzy("name")).alias(f"s{x}"), text.telling(text.fuzzy("name")).alias(f"t{x}")) for x in "ab")
-    loose = resolve.lsh_candidates(names, names).filter("a > b").join(a, "a").join(b, "b").filter(F.col("ta") & F.col("tb") & (text.jaccard("sa", "sb") >= 0.9)).select("a", "b")
-    roots = resolve.components(exact.unionByName(loose))
+    told = names.filter(text.telling(text.fuzzy("name")))
+    least = told.groupBy(text.fuzzy("name").alias("f")).agg(F.min("uuid").alias("b"))
+    same = told.select(F.col("uuid").alias("a"), text.fuzzy("name").alias("f")).join(least, "f").filter("a <> b").select("a", "b")
+    loose = resolve.loose_pairs(told, told, 0.9).select("f", "b").join(least.withColumnRenamed("b", "a"), "f").filter("a > b").select("a", "b")
+    roots = resolve.components(exact.unionByName(same).unionByName(loose))
     return names.select("uuid").join(roots, "uuid", "left").select("uuid", F.coalesce("root", "uuid").alias("root"))
 
 
