@@ -103,6 +103,15 @@ def test_candidates_by_bands(spark):
     assert resolve.lsh_candidates(names.limit(0), known).count() == 0
 
 
+def test_duplicate_facts_by_words_as_by_pairs(spark):
+    checkpoints(spark)
+    rng = random.Random(4)
+    rows = [(f"f{i:02}", rng.choice("ab"), "z", " ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 3)))) for i in range(50)] + [("n", "a", "z", None), ("o", None, "z", "w1"), ("q", None, "z", "w1")]
+    e = spark.createDataFrame(rows, EDGE + ", fact string")
+    by_words, by_pairs = (dict(values(d, "uuid", "root")) for d in (resolve.duplicate_facts(e), resolve.duplicate_facts(e, judge=lambda p: p)))
+    assert by_words == by_pairs and 3 < len(set(by_words.values())) < len(rows)
+
+
 def test_components_and_map(spark):
     checkpoints(spark)
     pairs = lambda rows: spark.createDataFrame(rows, "a string, b string")
