@@ -293,3 +293,11 @@ def test_queries_over_all_vectors_and_settled_labels(spark):
     nodes = spark.createDataFrame([(f"n{i:02}", "g") for i in range(31)], "uuid string, group_id string")
     checkpoints(spark)
     assert len({r.label for r in community.propagate(nodes, chain, None).collect()}) < len({r.label for r in community.propagate(nodes, chain).collect()})
+
+
+def test_bm25_of_equal_rows_ties_in_any_order(spark):
+    """Three terms whose parts sum to unlike last digits in unlike orders; rows come in many partitions."""
+    name = lambda i: "red widget economy" if i % 4 == 0 else "red rod large" if i % 2 else "hot widget economy" if i % 3 else "hot red widget"
+    d = spark.createDataFrame([(f"u{i:03}", name(i)) for i in range(403)], "uuid string, name string").repartition(8)
+    got = values(retrieve.bm25(d, ("name",), "the red widget economy", 101), "uuid", "score")
+    assert [u for u, _ in got] == [f"u{i:03}" for i in range(0, 403, 4)] and len({s for _, s in got}) == 1
