@@ -301,3 +301,17 @@ def test_bm25_of_equal_rows_ties_in_any_order(spark):
     d = spark.createDataFrame([(f"u{i:03}", name(i)) for i in range(403)], "uuid string, name string").repartition(8)
     got = values(retrieve.bm25(d, ("name",), "the red widget economy", 101), "uuid", "score")
     assert [u for u, _ in got] == [f"u{i:03}" for i in range(0, 403, 4)] and len({s for _, s in got}) == 1
+
+
+def test_duplicate_facts_in_shares_explode_only_what_meets(spark, monkeypatch):
+    checkpoints(spark)
+    rng = random.Random(6)
+    rows = [(f"f{i:03}", f"a{rng.randint(0, 120)}", "z", f"w{rng.randint(0, 3)} x") for i in range(200)] + [("n", None, "z", "x"), ("o", None, "z", "x"), ("p", "a1", "z", None)]
+    e = spark.createDataFrame(rows, EDGE + ", fact string")
+    want = dict(values(resolve.duplicate_facts(e, judge=lambda p: p), "uuid", "root"))
+    links, seen = resolve._word_links, []
+    monkeypatch.setattr(resolve, "_word_links", lambda d: seen.append({r.uuid for r in d.collect()}) or links(d))
+    for shares in (1, 5):
+        assert dict(values(resolve.duplicate_facts(e, shares=shares), "uuid", "root")) == want
+    ends = [r[1:3] for r in rows]
+    assert all(s == {r[0] for r in rows if ends.count(r[1:3]) > 1} for s in seen) and len(seen) == 2 and len(seen[0]) < len(rows)
