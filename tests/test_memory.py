@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.functions import text
-from tidegraph.operators import candidates, community, records, resolve, traverse
+from tidegraph.operators import candidates, community, records, resolve, retrieve, traverse
 from tidegraph.operators.filters import SearchFilters
 from tidegraph.operators.util import checkpoints
 from tidegraph.plans import search
@@ -129,3 +129,31 @@ def test_records(spark):
     circle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "a string, b string")
     with pytest.raises(ValueError):
         resolve.directed_map(circle, max_rounds=5).collect()
+
+
+def test_texts_per_probe_by_classes_as_by_loops(spark):
+    """Whatever counts as a common term, the best rows are those of a loop over all pairs; rows with equal words are compared once."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    names = [" ".join(rng.choice(["red", "blue", "bolt", "rod", "ring", f"n{rng.randint(0, 30)}"]) for _ in range(rng.randint(1, 4))) for _ in range(160)] + ["", "red"]
+    rows = [(f"u{i:03}", rng.choice("gh"), n) for i, n in enumerate(names)]
+    asked = [(u, g, n) for u, g, n in rows if int(u[1:]) % 5 == 0]
+    n, a, df = len(rows), sum(len(r[2].split()) for r in rows) / len(rows), Counter(t for r in rows for t in set(r[2].split()))
+    want = set()
+    for u, g, q in asked:
+        s = {}
+        for v, h, m in rows:
+            w = m.split()
+            if h == g and set(w) & set(q.split()):
+                s[v] = round(sum(sorted(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / a)) for t in set(q.split()) & set(w))), 9)
+        want |= {(u, v, k + 1) for k, v in enumerate(sorted(s, key=lambda v: (-s[v], v))[:3])}
+    d = spark.createDataFrame(rows, "uuid string, group_id string, name string")
+    p = spark.createDataFrame(asked, "probe string, group_id string, query string")
+    for common in (0, 4, 64):
+        got = candidates.texts_per_probe(p, d, ("name",), 3, common=common)
+        assert {(r.probe, r.uuid, r.rank) for r in got.collect()} == want, common
+    known = retrieve.first_rows(d.withColumn("v", F.lit(1)), ["group_id", "v"], 3)
+    assert {r.first: len(r.rows) for r in known.collect()} == {min(u for u, h, _ in rows if h == g): 3 for g in "gh"}
